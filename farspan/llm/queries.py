@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, line_dedup, ngram_jaccard, packing, sharding, toxicity
+from . import exact_dedup, language_id, license_scan, line_dedup, media, ngram_jaccard, packing, sentencepiece_sampling, sharding, toxicity
 from .common import table
 
 
@@ -55,12 +55,28 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no pictures: each vector of `embeddings` is drawn as one. Queries are edited and cropped copies
+    of every vector whose id is divisible by 20, searched for among all."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    edited = media.pictures_of(vectors.where(F.col("vec_id") % 20 == 0), edited=True)
+    return media.find_copies(edited, media.pictures_of(vectors))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three segmentations of every turn of `conversations`, with the check that they decode to the turn's text."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = sentencepiece_sampling.sample_segmentations(rows, ["conv_id", "turn"], model, k=3)
+    return out.select("conv_id", "turn", "rank", F.size("ids").alias("n_ids"), F.crc32(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")).alias("ids_crc32"), F.sha2(sentencepiece_sampling.decode_ids(F.col("ids"), model), 256).alias("text_sha256"), "log_prob", "inclusion")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_packing, op4_ngram_jaccard, op5_license_scan, op6_exact_dedup, op7_toxicity, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_packing, op4_ngram_jaccard, op5_license_scan, op6_exact_dedup, op7_toxicity, op8_media_copies, op9_sharding, op10_sentencepiece)}
 
 SPACES = r"[\x20\x09-\x0D]"
 ORACLE_SQL = {
