@@ -11,7 +11,7 @@ from ..functions.distance import cosine_distance, dot, normalize, shown
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     best = pairs.select("qid", "id", F.round(cosine_distance(F.col("v"), F.col("q")), 9).alias("d")).distinct()
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.asc_nulls_last("d"), "id"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.asc_nulls_last("d"), "id")).cast("long")
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "id", shown(F.col("d")).alias("distance"), shown(1 - F.col("d")).alias("score"))
 
 

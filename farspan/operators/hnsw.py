@@ -129,7 +129,7 @@ def search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int =
         return pd.DataFrame(out, columns=["qid", "id", "d"]).astype({"qid": "int64", "id": "int64", "d": "float64"})
 
     near = vectors.withColumn("shard", shard_of(F.col("id"), shards)).groupBy("shard").applyInPandas(run, "qid long, id long, d double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("d", "id")).cast("long")
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "id", shown(F.col("d")).alias("distance"), shown(1 - F.col("d")).alias("score"))
 
 

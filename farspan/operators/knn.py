@@ -82,7 +82,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str | None
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("d", "id")).cast("long")
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "id", shown(F.col("d")).alias("distance"), shown(1 - F.col("d")).alias("score"))
 
 
@@ -93,5 +93,5 @@ def page(results: DataFrame, offset: int, size: int) -> DataFrame:
 def merge_shards(results: DataFrame, k: int) -> DataFrame:
     """(shard, qid, id, distance) of several shards to the k best distinct ids of each query."""
     best = results.groupBy("qid", "id").agg(F.min("distance").alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")).cast("long")
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
