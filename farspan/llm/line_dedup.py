@@ -92,7 +92,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
     def cut(text: pa.Array, keys: pa.Array) -> pa.Array:
         kept, lines, dropped = [], [], []
         for t, own in zip(text.cast(pa.binary()).to_pylist(), keys.to_pylist(), strict=True):
-            if not own:
+            if not own or t is None:
                 kept.append(t)
                 lines.append((t or b"").count(b"\n") + 1)
                 dropped.append(0)
