@@ -85,6 +85,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
 
     lines = staged(plain.mapInArrow(suspected, "doc_id long, key binary"), "suspected")
     confirmed = lines.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    confirmed = staged(confirmed, "confirmed")  # so that the join has shuffles of its own, which can split a hot line
     gone = lines.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull())
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("key").alias("_gone"))
 
