@@ -161,10 +161,17 @@ def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
         m = shared.value
         if m is None:
             return pa.array([0.0] * len(text), pa.float64())
-        terms = _KNOWN.get(id(m)) or _KNOWN.setdefault(id(m), KnownTerms(m))
+        terms = known_terms(m)
         return pa.array([score(terms.of(t or b""), m) for t in text.cast(pa.binary()).to_pylist()], pa.float64())
 
     return docs.withColumn("_toxicity", run(F.col("text").cast("string")))
 
 
-_KNOWN: dict[int, KnownTerms] = {}
+_KNOWN: list[tuple[Model, KnownTerms]] = []
+
+
+def known_terms(model: Model) -> KnownTerms:
+    """Of this very model: a worker that is used again meets other models."""
+    if not _KNOWN or _KNOWN[0][0] is not model:
+        _KNOWN[:] = [(model, KnownTerms(model))]
+    return _KNOWN[0][1]
