@@ -6,15 +6,20 @@ for each worker. Log sums of all ways to go on from a place turn edge weights in
 an exact bound: a partial segmentation's perturbed value is the maximum over all its completions. A* expands the
 partial segmentation with the greatest value first and draws its children's values given that maximum, so complete
 ones come out in order, distinct. The (k+1)-th value is the threshold of the inclusion scores.
+
+Values are held as logs of arrival times (minus the Gumbel value): a child of a partial segmentation of probability P
+arrives at its parent's time plus (r - least r) / P, with r an exponential draw over the child's share. Each partial
+segmentation waiting stands for one complete one with its very value, so only the k+1 best need to wait.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import random
 import re
+from bisect import bisect, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -23,30 +28,33 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
+#: SentencePiece's mark of a blank.
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Stands for a SPACE character of the text itself, which is spelled in bytes.
-LITERAL = ""
+UNIT = re.compile(" *[^ ]+| +")
 #: Flattens (under 1) or sharpens the pieces' distribution.
 POWER = 0.8
+#: Siblings whose chance to come among the best is under exp of this are not drawn.
+HOPELESS = -46.0
 
 
 class Lattices(dict):
-    """Word to its edges, place by place: (next place, ids, log probability given the place)."""
+    """Word (with its leading blanks) to its edges, place by place: running sums of the shares, shares, and for each
+    edge (next place, ids, log share)."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces, self.bytes = {}, {}
-        self.names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
-        for i, piece in enumerate(self.names):
+        self.pieces, self.bytes, self.spelled = {}, {}, []
+        for i in range(sp.get_piece_size()):
+            piece = sp.id_to_piece(i)
+            self.spelled.append(piece.replace(SPACE, " ").encode())
             if sp.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
+                self.spelled[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and SPACE not in piece.lstrip(SPACE):
-                self.pieces[piece] = (i, -POWER * math.log(i + 10))
+                self.pieces[piece.replace(SPACE, " ")] = (i, -POWER * math.log(i + 10))
         self.longest = max(map(len, self.pieces))
-        self.byte_value = {i: b for b, i in self.bytes.items()}
 
     def __missing__(self, word: str):
         if len(self) >= 100_000:
@@ -59,64 +67,71 @@ class Lattices(dict):
                 if (piece := self.pieces.get(word[i:j])) is not None:
                     own.append((j, (piece[0],), piece[1] + after[j]))
             if word[i] not in self.pieces:
-                spelled = tuple(self.bytes[b] for b in (SPACE if word[i] == LITERAL else word[i]).encode())
+                spelled = tuple(self.bytes[b] for b in word[i].encode())
                 own.append((i + 1, spelled, -POWER * 12 * len(spelled) + after[i + 1]))
             top = max(e[2] for e in own)
             after[i] = top + math.log(sum(math.exp(e[2] - top) for e in own))
-            edges[i] = tuple((j, ids, w - after[i]) for j, ids, w in own)
+            shares = [math.exp(w - after[i]) for _, _, w in own]
+            edges[i] = (list(accumulate(shares)), shares, tuple((j, ids, w - after[i]) for j, ids, w in own))
         got = self[word] = edges
         return got
 
     def units(self, text: str) -> list[str]:
-        text = text.replace(LITERAL, "" + LITERAL) if False else text
-        return UNIT.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE))
+        return UNIT.findall(" " + text)
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_value:
-                out.append(self.byte_value[i])
-            else:
-                out += self.names[i].replace(SPACE, " ").encode()
-        return out.decode(errors="replace")[1:]
+        return b"".join(map(self.spelled.__getitem__, ids)).decode(errors="replace")[1:]
 
 
 def sample(text: str, k: int, seed: int, lattices: Lattices) -> list[tuple[list[int], float, float]]:
     """Up to k distinct segmentations (ids, log probability, inclusion score), by falling perturbed value."""
     units = [lattices[u] for u in lattices.units(text)]
-    rng, log, log1p, exp = random.Random(seed).random, math.log, math.log1p, math.exp
-    last, found, serial = len(units), [], 0
-    heap: list[tuple] = [(log(-log(rng() or 1e-300)), 0, 0.0, 0, 0, None)]  # minus the perturbed value, serial, log probability, unit, place, path
-    while heap and len(found) <= k:
-        neg, _, phi, u, i, path = heapq.heappop(heap)
+    rng, log, log1p, exp, expm1 = random.Random(seed).random, math.log, math.log1p, math.exp, math.expm1
+    last, found, serial, late = len(units), [], 0, math.inf
+    # log arrival time, serial, log probability, unit, place, path; sorted, the k+1 best with those found
+    waiting: list[tuple] = [(log(-log(rng() or 1e-300)), 0, 0.0, 0, 0, None)]
+    while waiting:
+        time, _, phi, u, i, path = waiting.pop(0)
+        if len(found) == k:
+            late = time
+            break
+        places, drawing = k - len(found), True
         while u < last:
-            edges = units[u][i]
+            sums, shares, edges = units[u][i]
             if len(edges) == 1:
-                j, ids, _ = edges[0]
-                path, i = (path, ids), j
+                i, ids, _ = edges[0]
+                path = (path, ids)
             else:
-                drawn = [(phi + w - log(-log(rng() or 1e-300)), phi + w, j, ids) for j, ids, w in edges]
-                best = max(drawn)
-                z = best[0]
-                for g, p, j, ids in drawn:
-                    if g != z:
-                        v = -neg - g + log1p(-exp(g - z))
-                        value = -neg - (v if v > 0 else 0.0) - log1p(exp(-abs(v)))
-                        serial += 1
-                        at = (u + 1, 0) if j == len(units[u]) else (u, j)
-                        heapq.heappush(heap, (-value, serial, p, *at, (path, ids)))
-                phi, i, path = best[1], best[2], (path, best[3])
+                if drawing and len(waiting) >= places:
+                    ahead = waiting[places - 1][0]
+                    drawing = ahead > time and phi + ahead + log1p(-exp(time - ahead)) > HOPELESS
+                if drawing:
+                    races = [-log(rng() or 1e-300) / (s or 1e-300) for s in shares]
+                    least = min(races)
+                    at = races.index(least)
+                    for r, (j, ids, w) in zip(races, edges, strict=True):
+                        if r > least:
+                            more = log(r - least) - phi
+                            value = max(time, more) + log1p(exp(-abs(time - more)))
+                            if len(waiting) < places or value < waiting[places - 1][0]:
+                                serial += 1
+                                onward = (u + 1, 0) if j == len(units[u]) else (u, j)
+                                insort(waiting, (value, serial, phi + w, *onward, (path, ids)))
+                                del waiting[places:]
+                else:
+                    at = min(bisect(sums, rng() * sums[-1]), len(edges) - 1)
+                i, ids, w = edges[at]
+                phi, path = phi + w, (path, ids)
             if i == len(units[u]):
                 u, i = u + 1, 0
-        found.append((-neg, phi, path))
-    threshold = found[k][0] if len(found) > k else -math.inf
+        found.append((phi, path))
     out = []
-    for _, phi, path in found[:k]:
+    for phi, path in found:
         parts = []
         while path is not None:
             path, ids = path
             parts.append(ids)
-        score = 1.0 if threshold == -math.inf else -math.expm1(-exp(min(50.0, phi - threshold)))
+        score = 1.0 if late == math.inf else -expm1(-exp(min(50.0, phi + late)))
         out.append(([i for ids in reversed(parts) for i in ids], phi, score))
     return out
 
@@ -135,7 +150,7 @@ def sample_segmentations(rows: DataFrame, keys: list[str], model: str, k: int =
 
     The draws are seeded by the row's key, so a task that is run again draws the same; rows that repeat a key and text
     give the same rows. Null text counts as empty, which has one segmentation: the leading space piece. A text's own
-    U+2581 characters are spelled in bytes. Columns other than keys and text are ignored. An empty table gives none.
+    U+2581 characters are spelled in bytes, so every text decodes to itself. Columns other than keys and text are ignored. An empty table gives none.
     """
     prepare(rows.sparkSession)
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes)
