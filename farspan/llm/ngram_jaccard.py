@@ -32,6 +32,8 @@ FOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: One global token order each.
 ORDERS = tuple(np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 GATHERED = 400_000
+#: Bytes of prepared texts that a comparing task holds.
+HELD_BYTES = 32 << 20
 
 
 class WordHashes(dict):
@@ -49,9 +51,8 @@ def mixed(x: np.ndarray, salt: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes; fewer words than size give one shingle, none give none."""
-    words = text.lower().split()  # of bytes: A-Z only, ASCII white space only
+def all_shingles(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
+    """The hash of each place's shingle; fewer words than size give one shingle, none give none."""
     n = len(words)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     width = min(size, n)
@@ -60,12 +61,61 @@ def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
     acc = np.zeros(n - width + 1, np.uint64) + np.uint64(width)
     for j in range(width):
         acc = mixed(acc * FOLD + h[j : n - width + 1 + j], ORDERS[0])
-    return np.unique(acc)
+    return acc
+
 
+def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(all_shingles(text.lower().split(), size, hashes))  # of bytes: A-Z only, ASCII white space only
 
-def word_shingles(text: bytes, size: int) -> set[tuple[bytes, ...]]:
-    words = text.lower().split()
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+class WordIds(dict):
+    """Word to a number of its own."""
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        return i
+
+
+class Prepared:
+    """Texts made ready for comparison, the latest HELD_BYTES of them: sorted shingle hashes, a place of each in the
+    text, the words as numbers, and the prefixes under all orders."""
+
+    def __init__(self, classes: np.ndarray, size: int, percent: int):
+        self.classes, self.size, self.percent = classes, size, percent
+        self.hashes, self.ids, self.kept, self.held = WordHashes(), WordIds(), {}, 0
+
+    def known(self, text: bytes) -> tuple:
+        if (x := self.kept.get(text)) is None:
+            words = text.lower().split()
+            tokens, place = np.unique(all_shingles(words, self.size, self.hashes), return_index=True)
+            prefixes = [np.sort(prefix(tokens, self.classes, o, self.percent)) for o in ORDERS]
+            x = self.kept[text] = (tokens, place.astype(np.int32), np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)), prefixes)
+            self.held += self.weight(text, x)
+        return x
+
+    @staticmethod
+    def weight(text: bytes, x: tuple) -> int:
+        return len(text) + sum(a.nbytes for a in (*x[:3], *x[3])) + 1000
+
+    def near(self, a: bytes, b: bytes) -> bool:
+        """Whether two texts share a prefix token under every order and, word for word, enough shingles."""
+        if len(self.ids) > 300_000:  # numbers are given anew, so no text may keep old ones
+            self.ids.clear()
+            self.kept.clear()
+            self.held = 0
+        while self.held > HELD_BYTES and self.kept:
+            first = next(iter(self.kept))
+            self.held -= self.weight(first, self.kept.pop(first))
+        (x, px, wx, fx), (y, py, wy, fy) = self.known(a), self.known(b)
+        if not len(x) or not len(y) or not all(len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(fx, fy, strict=True)):
+            return False
+        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        i, j, same = px[i], py[j], np.ones(len(i), bool)
+        for k in range(min(self.size, len(wx), len(wy))):  # equal hashes: so must be their words
+            same &= wx[i + k] == wy[j + k]
+        both = int(same.sum())
+        return 100 * both >= self.percent * (len(x) + len(y) - both)
 
 
 def prefix(tokens: np.ndarray, classes: np.ndarray, order: np.uint64, percent: int) -> np.ndarray:
@@ -232,23 +282,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes, size: int, percent: in
     texts = staged(texts.distinct(), "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept = WordHashes(), {}
-
-        def known(text: bytes):
-            if text not in kept:
-                if len(kept) >= 64:
-                    kept.clear()
-                tokens = shingle_set(text, size, hashes)
-                kept[text] = ([set(prefix(tokens, classes.value, o, percent).tolist()) for o in ORDERS], word_shingles(text, size))
-            return kept[text]
-
+        ready = Prepared(classes.value, size, percent)
         for batch in batches:
-            yes = []
-            for x, y in zip(texts_of(batch, "ta"), texts_of(batch, "tb"), strict=True):
-                p, q = known(x), known(y)
-                near = all(not s.isdisjoint(t) for s, t in zip(p[0], q[0], strict=True))
-                both = len(p[1] & q[1]) if near else 0
-                yes.append(near and 100 * both >= percent * (len(p[1]) + len(q[1]) - both))
+            yes = [ready.near(x, y) for x, y in zip(texts_of(batch, "ta"), texts_of(batch, "tb"), strict=True)]
             hit = pa.array(np.flatnonzero(yes))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(hit), batch.column("b").take(hit)], ["a", "b"])
 

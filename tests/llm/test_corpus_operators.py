@@ -131,6 +131,22 @@ def test_near_duplicates_of_drifting_copies(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_comparison_word_by_word(monkeypatch):
+    """Verdicts equal those on sets of word tuples, whatever is forgotten between them; unlike words with one hash don't count."""
+    texts = [words(n, s).encode() for n in (0, 1, 3, 4, 40, 300) for s in (1, 2)] + [b"a b c", b"A  B\tC"]
+    texts += [b" ".join([*t.split()[:k], b"new", *t.split()[k:]]) for t in texts for k in (0, 20)]
+    sets = [{tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set() for w in (t.lower().split() for t in texts)]
+    monkeypatch.setattr(ngram_jaccard, "HELD_BYTES", 3000)
+    ready = ngram_jaccard.Prepared(np.zeros(1 << ngram_jaccard.SKETCH_BITS, np.uint8), 4, 85)
+    for a, p in zip(texts, sets, strict=True):
+        for b, q in zip(texts, sets, strict=True):
+            assert ready.near(a, b) == bool(p and q and 100 * len(p & q) >= 85 * len(p | q))
+    monkeypatch.setattr(ngram_jaccard, "HELD_BYTES", 0)
+    same = ngram_jaccard.Prepared(ready.classes, 4, 85)
+    same.hashes.update({b"left": 7, b"right": 7})
+    assert not same.near(b"one two left three", b"one two right three") and same.near(b"one two left three", b"one two left three")
+
+
 def test_components(spark):
     r = random.Random(4)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
