@@ -27,9 +27,11 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, dimension: int, k: int =
     return _ranked(a.join(b, ["t", "key"]), k)
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, probes: int = 4) -> DataFrame:
+def ivf_search(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
     """centroids (cell, centre): each vector lies in the nearest cell, a query looks into its nearest `probes` cells.
 
+    The default is set for recall: on `embeddings`, without clusters, 8 of the 10 labels' cells are needed.
+
     The centroids are a trained codebook of a fixed number of cells, so they are broadcast."""
     c = F.broadcast(centroids)
 

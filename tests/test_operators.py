@@ -89,6 +89,20 @@ def test_recall(spark):
     assert all(g.src != g.dst for g in e)
 
 
+@pytest.mark.parametrize("name", ["ivf_search"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_registered_queries(spark, name, sf):
+    """As registered, on their own table, against brute force."""
+    path = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.argsort(-(x[ids % 20 == 0] @ x.T), axis=1, kind="stable")[:, :10]
+    exact = {(int(q), int(i)) for q, row in zip(ids[ids % 20 == 0], ids[near], strict=True) for i in row}
+    got = {(r.qid, r.id) for r in __spark_entry__.queries()[name](spark, path).collect()}
+    assert len(exact & got) >= 0.9 * len(exact)
+
+
 def test_state_and_snapshots(spark, tmp_path):
     state = spark.createDataFrame([(1, False), (2, True)], "id long, deleted boolean")
     got = store.apply_flags(state, spark.createDataFrame([(1,), (2,), (3,)], "id long"), True).collect()
