@@ -15,8 +15,10 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "id", shown(F.col("d")).alias("distance"), shown(1 - F.col("d")).alias("score"))
 
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, dimension: int, k: int = 10, tables: int = 12, bits: int = 4, seed: int = 1) -> DataFrame:
-    """Sign patterns of random projections; a query meets the vectors of its own pattern in any table."""
+def lsh_search(vectors: DataFrame, queries: DataFrame, dimension: int, k: int = 10, tables: int = 12, bits: int = 3, seed: int = 1) -> DataFrame:
+    """Sign patterns of random projections; a query meets the vectors of its own pattern in any table.
+
+    The defaults are set for recall: on `embeddings`, without clusters, they meet 80 % of the vectors."""
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dimension))
 
     def keys(v):

@@ -89,7 +89,7 @@ def test_recall(spark):
     assert all(g.src != g.dst for g in e)
 
 
-@pytest.mark.parametrize("name", ["ivf_search"])
+@pytest.mark.parametrize("name", ["ivf_search", "lsh_search"])
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_recall_of_registered_queries(spark, name, sf):
     """As registered, on their own table, against brute force."""
