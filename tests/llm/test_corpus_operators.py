@@ -293,6 +293,21 @@ def test_media(spark):
     assert media.find_copies(queries.where("false"), pictures).count() == 0
 
 
+def pgm(*pictures):
+    return [(i, bytearray(media.write_pgm(x))) for i, x in enumerate(pictures)]
+
+
+def test_media_resized_turned_and_odd_crops(spark):
+    r = np.random.default_rng(3)
+    x = [media.draw(r.normal(size=16).tolist(), 160) for _ in range(6)]
+    edits = [x[0][31:140, 17:121], media.resized(x[1], 2.0), media.resized(x[2], 1.4), media.turned(x[3], 0.6, 1.0), np.rot90(x[4]), media.turned(x[5], -2.0, 1.5)]
+    got = media.find_copies(spark.createDataFrame(pgm(*edits), "id long, picture binary"), spark.createDataFrame(pgm(*x), "id long, picture binary")).collect()
+    assert {(g.query_id, g.match_id) for g in got} == {(i, i) for i in range(6)}
+    g = {g.query_id: g for g in got}
+    assert (g[0].dy, g[0].dx, g[0].size, g[0].turn) == (31, 17, 1.0, 0)
+    assert abs(g[1].size - 2) < 0.1 and abs(g[2].size - 1.4) < 0.1 and abs(abs(g[4].turn) - 90) < 3 and abs(g[5].size - 1 / 1.5) < 0.05
+
+
 def test_sentencepiece(spark, rows):
     path = tokenizer_path("piece_bpe_32k.model")
     texts = [(i, t) for i, t in rows if t is None or len(t) < 2000] + [(500, "a▁b  two  spaces\n🙂")]
