@@ -308,6 +308,14 @@ def test_media_resized_turned_and_odd_crops(spark):
     assert abs(g[1].size - 2) < 0.1 and abs(g[2].size - 1.4) < 0.1 and abs(abs(g[4].turn) - 90) < 3 and abs(g[5].size - 1 / 1.5) < 0.05
 
 
+def test_media_small_crop_of_a_detailed_picture(spark):
+    r = np.random.default_rng(4)
+    x = np.kron(r.integers(0, 255, (100, 100)), np.ones((6, 6)))  # strong corners all over
+    x[200:330, 200:330] = 110 + media.draw(r.normal(size=16).tolist(), 130) * 0.2
+    got = media.find_copies(spark.createDataFrame(pgm(x[211:321, 209:323]), "id long, picture binary"), spark.createDataFrame(pgm(x), "id long, picture binary")).collect()
+    assert [(g.query_id, g.match_id) for g in got] == [(0, 0)] and abs(got[0].dy - 211) <= 1 and abs(got[0].dx - 209) <= 1
+
+
 def test_sentencepiece(spark, rows):
     path = tokenizer_path("piece_bpe_32k.model")
     texts = [(i, t) for i, t in rows if t is None or len(t) < 2000] + [(500, "a▁b  two  spaces\n🙂")]
