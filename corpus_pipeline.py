@@ -34,7 +34,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the document with the smallest doc_id stays; rows that
     repeat it go too, and rows without doc_id, which are in no group, stay."""
-    groups = ngram_jaccard.near_duplicates(docs, size=5, percent=80)
+    groups = ngram_jaccard.near_duplicates(docs, size=5, percent=80, count_links=False)
     gone = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 

@@ -11,6 +11,8 @@ Order of work, for sets of distinct shingles (64-bit hashes) and a Jaccard thres
    bounds allow. After verification, tokens whose sets are in different components still give their remaining pairs
    that pass the same bounds; sets that a link has joined need no more pairs. So copies cost a row each, not all pairs.
 4. A candidate must share a prefix token under the other orders too; what is left is verified on the words themselves.
+5. No link leaves a component, so all links are counted within them: blocks of each component's texts meet each other
+   once, their sets as the rows of two matrices, whose product holds all intersections.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_hash, key_filter, prepare, repeated_filter, staged, texts_of
@@ -34,6 +36,8 @@ ORDERS = tuple(np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x
 GATHERED = 400_000
 #: Bytes of prepared texts that a comparing task holds.
 HELD_BYTES = 32 << 20
+#: Bytes of a block of texts that meets another one, and what a text counts at least; columns of a product.
+BLOCK_BYTES, LEAST_BYTES, COLUMNS = 8 << 20, 128 << 10, 1 << 15
 
 
 class WordHashes(dict):
@@ -140,9 +144,10 @@ def _classes(sketch: DataFrame) -> np.ndarray:
     return np.floor(4 * np.log2(np.maximum(out, 1))).astype(np.uint8)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, n_links (to centres and across them, as verified; a set's
-    links within its component need not all be looked at), component_id (the least doc_id that links reach).
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, n_links (all other sets that the row's set links with; equal
+    sets count once, and rows of one set show the same number), component_id (the least doc_id that links reach).
+    Without count_links there is no n_links, which saves comparing all texts of each component.
 
     A-Z count as lower case; words are split at ASCII white space. Two rows link when 100 * intersection >= percent *
     union of their sets. Null or blank text has an empty set, links with nothing and is its own component. Rows that
@@ -256,6 +261,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     more = _verified(docs, staged(rest, "rest"), classes, size, percent)
     links = staged(links.union(more), "links")
     joined = components(links)
+    if count_links:
+        links = links.union(_inner_links(docs, joined, classes, size, percent)).distinct()
     degree = links.select(F.col("a").alias("c")).union(links.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
     out = sets.join(class_of.select("s1", "s2", "n", "c"), ["s1", "s2", "n"], "left").join(joined.withColumnRenamed("node", "c"), "c", "left").join(degree, "c", "left")
     # rows that repeat a doc_id with other texts are one document: their classes meet in it
@@ -265,13 +272,65 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     if not twins.isEmpty():
         met = components(twins)
         out = out.join(met.select(F.col("node").alias("component_id"), F.col("label").alias("met")), "component_id", "left").withColumn("component_id", F.coalesce("met", "component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, classes, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, written. Only texts that a pair names are shuffled."""
+    counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), *counted, "component_id")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The intersection size of each left with each right set."""
+    every = np.unique(np.concatenate([*left, *right]))
+    places = [[np.searchsorted(every, x) for x in side] for side in (left, right)]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, len(every), COLUMNS):
+        a, b = (np.zeros((len(side), min(COLUMNS, len(every) - start)), np.float32) for side in places)
+        for m, side in ((a, places[0]), (b, places[1])):
+            for i, at in enumerate(side):
+                lo, hi = np.searchsorted(at, (start, start + COLUMNS))
+                m[i, at[lo:hi] - start] = 1
+        out += np.rint(a @ b.T).astype(np.int64)
+    return out
+
+
+def _inner_links(docs: DataFrame, joined: DataFrame, classes, size: int, percent: int) -> DataFrame:
+    """All pairs (a, b), a < b, that link within components (node, label) of three nodes or more, written.
+
+    A text is sent once for each block of its component, not for each partner."""
+    many = joined.groupBy("label").agg(F.count("*").alias("k")).where("k > 2").select("label")
+    nodes = staged(joined.join(many, "label", "left_semi").select(F.col("node").alias("doc_id"), "label"), "nodes")
+    texts = _texts(docs, nodes.select("doc_id")).join(nodes, "doc_id")
+    weight = F.greatest(F.octet_length("text"), F.lit(LEAST_BYTES)).cast("long")
+    whole = nodes.join(texts.groupBy("doc_id").agg(F.sum(weight).alias("w")), "doc_id")
+    before = F.sum("w").over(Window.partitionBy("label").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = staged(whole.select("doc_id", "label", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_BYTES).cast("long").alias("block")), "blocks")
+    used = blocks.select("label", "block").distinct()
+    cells = used.withColumnRenamed("block", "lo").join(used.withColumnRenamed("block", "hi"), "label").where("lo <= hi")
+    cells = cells.select("label", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    rows = texts.drop("label").join(blocks, "doc_id").join(cells, ["label", "block"]).select("label", "lo", "hi", "block", "doc_id", "text")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        ready = Prepared(classes.value, size, percent)
+        ids, block, lo, hi = (np.asarray(cell.column(c)) for c in ("doc_id", "block", "lo", "hi"))
+        texts = texts_of(cell.combine_chunks().to_batches()[0])
+        sides = [np.flatnonzero(block == x[0]) for x in (lo, hi)]
+        sets = {int(i): shingle_set(texts[i], size, ready.hashes) for side in sides for i in side}
+        left, right = ([sets[int(i)] for i in side] for side in sides)
+        shared = shared_counts(left, right)
+        most = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right]) - shared
+        found = set()
+        for i, j in np.argwhere((shared > 0) & (100 * shared >= percent * most)):
+            i, j = sides[0][i], sides[1][j]
+            a, b = sorted((int(ids[i]), int(ids[j])))
+            if a != b and (a, b) not in found and ready.near(texts[i], texts[j]):
+                found.add((a, b))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return staged(rows.groupBy("label", "lo", "hi").applyInArrow(compare, "a long, b long").distinct(), "inner")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts (doc_id, text) of the ids (doc_id), and maybe a few others, written."""
     spark = docs.sparkSession
-    wanted = key_filter(staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().select(id_hash("doc_id").alias("h")), "wanted"))
+    wanted = key_filter(staged(ids.distinct().select(id_hash("doc_id").alias("h")), "wanted"))
     wanted = spark.sparkContext.broadcast(wanted)
 
     @F.arrow_udf("boolean")
@@ -279,7 +338,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes, size: int, percent: in
         return pa.array(wanted.value.test(h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     texts = docs.where("doc_id is not null").where(may_be(id_hash("doc_id")))
-    texts = staged(texts.distinct(), "texts")
+    return staged(texts.distinct(), "texts")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, written. Only texts that a pair names are shuffled."""
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Prepared(classes.value, size, percent)

@@ -36,7 +36,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

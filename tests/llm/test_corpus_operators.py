@@ -131,6 +131,31 @@ def test_near_duplicates_of_drifting_copies(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_links_are_all_counted(spark, monkeypatch):
+    """Every link between different texts counts, over several blocks and products, and in the query's own columns."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_BYTES", ngram_jaccard.LEAST_BYTES * 4)
+    base = words(200, 3).split()
+    rows = []
+    for i in range(30):
+        mine = [*base]
+        mine[(i * 37) % 200] = f"own{i}"
+        mine[(i * 53) % 200] = f"more{i}"
+        rows.append((i, " ".join(mine)))
+    rows += [(i, words(90, 40 + i)) for i in range(30, 34)] + [(50, rows[4][1])]
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {i: len({frozenset(b) for b in sets.values() if b != a and 100 * len(a & b) >= 85 * len(a | b)}) for i, a in sets.items()}
+    got = {r.doc_id: r.n_links for r in ngram_jaccard.near_duplicates(table(spark, rows), 4, 85).collect()}
+    assert got == want and max(want.values()) > 10
+    assert "n_links" not in ngram_jaccard.near_duplicates(table(spark, rows), 4, 85, count_links=False).columns
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "COLUMNS", 7)
+    r = np.random.default_rng(6)
+    x = [np.unique(r.integers(0, 60, n)).astype(np.uint64) for n in (1, 5, 40, 100)]
+    assert ngram_jaccard.shared_counts(x[:2], x).tolist() == [[len(np.intersect1d(a, b)) for b in x] for a in x[:2]]
+
+
 def test_comparison_word_by_word(monkeypatch):
     """Verdicts equal those on sets of word tuples, whatever is forgotten between them; unlike words with one hash don't count."""
     texts = [words(n, s).encode() for n in (0, 1, 3, 4, 40, 300) for s in (1, 2)] + [b"a b c", b"A  B\tC"]
