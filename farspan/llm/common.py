@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Hash rows for one segment of the paired filters; the number of segments grows with the rows.
@@ -23,16 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches small enough that very long texts don't fill a worker."""
+    """Arrow batches small enough that very long texts don't fill a worker, or the buffers between it and the JVM."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def lean(run: Callable) -> Callable:
+    """run (batches to batches) in a worker that gives its free memory back to the system when a task is done: workers
+    are used again for other work, and what they only might need again adds up over an executor."""
+
+    @wraps(run)
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return trimmed
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of our own only where it names none."""
+    """The shared folder that the session names. Only a local session that names none gets a folder of our own."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or (lambda d: d.get() if d.isDefined() else None)(sc._jsc.sc().getCheckpointDir())
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="farspan-")
         sc.setCheckpointDir(root)
     return root
@@ -45,6 +67,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_with(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """df as `staged` has it, and aggregates of it that are taken while it is written."""
+    seen = Observation()
+    out = staged(df.observe(seen, *(c.alias(k) for k, c in measures.items())), label)
+    return out, seen.get
+
+
+def shared_with(spark: SparkSession, value) -> Broadcast:
+    """value on all executors, until `release`. Its size must be bounded."""
+    return spark.sparkContext.broadcast(value)
+
+
+def release(*shared: Broadcast) -> None:
+    """Frees broadcast values that only written tables have been made with."""
+    for x in shared:
+        x.destroy()
+
+
 def power_of_two(x: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(x, 1)))))
 
@@ -77,7 +117,7 @@ def _gather(spark: SparkSession, rows: DataFrame, segments: int, segment_bits: i
     """rows (seg, bits): at most MAX_FILTER_BITS in all."""
     bits = np.zeros(max(1, segments * segment_bits // 8), np.uint8)
     n = segment_bits // 8
-    for seg, part in rows.toLocalIterator():
+    for seg, part in rows.collect():
         bits[seg * n : (seg + 1) * n] |= np.frombuffer(part, np.uint8)
     return SegmentedFilter(bits, segments, segment_bits)
 
@@ -124,12 +164,13 @@ def repeated_filter(hashes: DataFrame, n: int, most: int = MAX_FILTER_BITS) -> S
     spark = hashes.sparkSession
     rows = hashes.select("h", "multi", F.col("h").bitwiseAND(segments - 1).alias("seg"))
     rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 4_000_000), "seg").select("h", "multi")
-    return _gather(spark, rows.mapInArrow(build, "seg int, bits binary"), segments, twice_bits)
+    return _gather(spark, rows.mapInArrow(lean(build), "seg int, bits binary"), segments, twice_bits)
 
 
 def key_filter(keys: DataFrame, most: int = MAX_FILTER_BITS) -> SegmentedFilter:
-    """A Bloom filter of the long column h of a written table; bounded as above."""
-    n = keys.count()
+    """A Bloom filter of the long column h, which is written first; bounded as above."""
+    keys, seen = staged_with(keys.select("h"), "keys", n=F.count(F.lit(1)))
+    n = seen["n"]
     segments, bits = _layout(n, most)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +187,7 @@ def key_filter(keys: DataFrame, most: int = MAX_FILTER_BITS) -> SegmentedFilter:
 
     spark = keys.sparkSession
     near = keys.select("h", F.col("h").bitwiseAND(segments - 1).alias("seg")).repartition(F.col("seg")).sortWithinPartitions("seg").select("h")
-    return _gather(spark, near.mapInArrow(build, "seg int, bits binary"), segments, bits)
+    return _gather(spark, near.mapInArrow(lean(build), "seg int, bits binary"), segments, bits)
 
 
 def id_hash(col: str):

@@ -3,10 +3,12 @@
 Each language has a codeword of bits. For every bit a linear classifier over hashed byte trigrams is learned (ridge
 regression, all bits in one solve); a text's margins are decoded to the codeword with the least loss, each bit
 weighted by how well it was learned. Where the second codeword is nearly as close the row is flagged as ambiguous.
+The model is fitted in one executor task, on a bounded sample; the driver gets the model alone.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, texts_of
+from .common import column_free_name, lean, prepare, texts_of
 
 BUCKETS, BITS = 4096, 15
 #: Labelled rows that the model is fitted on, at most (chosen by a hash of the id).
@@ -70,18 +72,20 @@ def fit(x: np.ndarray, labels: list[str]) -> Model | None:
         return None
     codes = codewords(len(names))
     y = codes[[names.index(v) for v in labels]]
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     tune = np.arange(len(x)) % 5 == 4 if len(x) >= 50 else np.zeros(len(x), bool)
-
-    def solve(rows: np.ndarray) -> np.ndarray:
-        a, b = x[rows], y[rows].astype(x.dtype)
-        if len(a) < x.shape[1]:  # the smaller of the two equal forms
-            return a.T @ np.linalg.solve(a @ a.T + 0.3 * np.eye(len(a), dtype=x.dtype), b)
-        return np.linalg.solve(a.T @ a + 0.3 * np.eye(x.shape[1], dtype=x.dtype), a.T @ b)
-
-    w = solve(~tune)
+    a = np.ones((int((~tune).sum()), x.shape[1] + 1), x.dtype)  # the bias in the last column
+    a[:, :-1] = x[~tune]
+    b = y[~tune].astype(x.dtype)
+    if len(a) < a.shape[1]:  # the smaller of the two equal forms
+        gram = a @ a.T
+        gram[np.diag_indices(len(gram))] += x.dtype.type(0.3)
+        w = a.T @ np.linalg.solve(gram, b)
+    else:
+        gram = a.T @ a
+        gram[np.diag_indices(len(gram))] += x.dtype.type(0.3)
+        w = np.linalg.solve(gram, a.T @ b)
     held = tune if tune.any() else ~tune
-    right = (np.sign(x[held] @ w) == y[held]).mean(axis=0)
+    right = (np.sign(x[held] @ w[:-1] + w[-1]) == y[held]).mean(axis=0)
     trust = np.maximum(2 * right - 1, 0.05)
     return Model(names, codes, w.astype(np.float64), trust / trust.sum(), 6.0)
 
@@ -97,6 +101,7 @@ def decode(margins: np.ndarray, model: Model) -> tuple[int, float, float]:
 
 def learn(docs: DataFrame, may_learn, max_fit: int = MAX_FIT) -> Model | None:
     """A model from up to max_fit rows (about) with a lang, where the column may_learn holds; text and lang only."""
+    prepare(docs.sparkSession)
     rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = rows.count()
     scale = 1 << 30
@@ -107,18 +112,24 @@ def learn(docs: DataFrame, may_learn, max_fit: int = MAX_FIT) -> Model | None:
             keep = [(t, v) for t, v in zip(texts_of(batch), batch.column("lang").to_pylist(), strict=True) if LETTER.search(t.decode())]
             yield pa.RecordBatch.from_arrays([pa.array([v for _, v in keep], pa.string()), pa.array([features(t).astype(np.float16).tobytes() for t, _ in keep], pa.binary())], ["lang", "x"])
 
-    found = rows.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, x binary").limit(int(1.2 * max_fit) + 200).collect()  # 8 KiB a row, rows bounded
-    found.sort(key=lambda r: (r.lang, bytes(r.x)))
-    rng = np.random.default_rng(3)
-    found = [found[i] for i in rng.permutation(len(found))]
-    return fit(np.array([np.frombuffer(r.x, np.float16) for r in found], np.float32), [r.lang for r in found]) if found else None
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((lang, x) for batch in batches for lang, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        order = np.random.default_rng(3).permutation(len(found))
+        model = fit(np.array([np.frombuffer(found[i][1], np.float16) for i in order], np.float32), [found[i][0] for i in order]) if found else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    sample = rows.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(lean(run), "lang string, x binary").limit(int(1.2 * max_fit) + 200)  # 8 KiB a row
+    fitted = sample.repartition(1).mapInArrow(lean(solve), "model binary").collect()  # one task of at most 40 MB of rows
+    return pickle.loads(fitted[0].model) if fitted else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with a struct column `_language` (lang_pred, score, ambiguous).
+    """docs with a struct column (lang_pred, score, ambiguous), named `_language` unless docs has such a column, whatever
+    its case: then with as many further _ as make it new (`common.column_free_name` tells the name).
 
-    `und` with score 0 where the text is null, empty or has no letters, or where nothing was learned. Rows that repeat
-    get the same answer; other columns pass unchanged; an empty table gives an empty result.
+    `und` with score 0 where the text is null, empty or has no letters, or where nothing was learned. A very long text
+    counts whole, in blocks. Of languages that are equally near the first by name wins, with ambiguous set. Rows that
+    repeat get the same answer; other columns pass unchanged; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: buckets x bits
@@ -134,4 +145,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             out.append((m.languages[best], p, lead < 0.1))
         return pa.StructArray.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_())], ["lang_pred", "score", "ambiguous"])
 
-    return docs.withColumn("_language", predict(F.col("text").cast("string")))
+    return docs.withColumn(column_free_name(docs, "_language"), predict(F.col("text").cast("string")))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, texts_of
+from .common import lean, prepare, texts_of
 
 CAPACITY = 2048
 GROUP_TOKENS = 300 * CAPACITY
@@ -86,7 +86,7 @@ class Ids(dict):
     the BPE model; any other word goes to the tokenizer as a whole.
     """
 
-    WORDS, PARTS = 250_000, 800_000
+    WORDS, PARTS = 150_000, 300_000
 
     def __init__(self, path: str):
         import regex
@@ -200,7 +200,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, gr
         yield from flush()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return plain.mapInArrow(lean(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def with_crc(packed: DataFrame) -> DataFrame:
