@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from farspan.llm import components, exact_dedup, language_id, license_scan, line_dedup, media, ngram_jaccard, packing, sentencepiece_sampling, sharding, toxicity
+from farspan.llm import components, exact_dedup, language_id, license_scan, line_dedup, media, ngram_jaccard, packing, sentencepiece_sampling, sharding, shingles, toxicity
 from farspan.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, N_LINES string, kept string, c string, n int"
@@ -133,7 +134,7 @@ def test_near_duplicates_of_drifting_copies(spark):
 
 def test_links_are_all_counted(spark, monkeypatch):
     """Every link between different texts counts, over several blocks and products, and in the query's own columns."""
-    monkeypatch.setattr(ngram_jaccard, "BLOCK_BYTES", ngram_jaccard.LEAST_BYTES * 4)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_BYTES", ngram_jaccard.LEAST_BYTES * 7)
     base = words(200, 3).split()
     rows = []
     for i in range(30):
@@ -156,20 +157,41 @@ def test_shared_counts(monkeypatch):
     assert ngram_jaccard.shared_counts(x[:2], x).tolist() == [[len(np.intersect1d(a, b)) for b in x] for a in x[:2]]
 
 
+def tuples(text, size):
+    w = text.lower().split()
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+
+
 def test_comparison_word_by_word(monkeypatch):
     """Verdicts equal those on sets of word tuples, whatever is forgotten between them; unlike words with one hash don't count."""
     texts = [words(n, s).encode() for n in (0, 1, 3, 4, 40, 300) for s in (1, 2)] + [b"a b c", b"A  B\tC"]
     texts += [b" ".join([*t.split()[:k], b"new", *t.split()[k:]]) for t in texts for k in (0, 20)]
-    sets = [{tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set() for w in (t.lower().split() for t in texts)]
+    sets = [tuples(t, 4) for t in texts]
     monkeypatch.setattr(ngram_jaccard, "HELD_BYTES", 3000)
-    ready = ngram_jaccard.Prepared(np.zeros(1 << ngram_jaccard.SKETCH_BITS, np.uint8), 4, 85)
+    ready = ngram_jaccard.Prepared(4, 85)
     for a, p in zip(texts, sets, strict=True):
         for b, q in zip(texts, sets, strict=True):
             assert ready.near(a, b) == bool(p and q and 100 * len(p & q) >= 85 * len(p | q))
-    monkeypatch.setattr(ngram_jaccard, "HELD_BYTES", 0)
-    same = ngram_jaccard.Prepared(ready.classes, 4, 85)
-    same.hashes.update({b"left": 7, b"right": 7})
-    assert not same.near(b"one two left three", b"one two right three") and same.near(b"one two left three", b"one two left three")
+    monkeypatch.setattr(ngram_jaccard, "of_text", lambda text, size: np.arange(max(0, len(text.split()) - 3)).astype(np.uint64))  # all first shingles share a hash, all second ones...
+    same = ngram_jaccard.Prepared(4, 85)
+    left, right = b"one two left three four five", b"one two right three four five"
+    assert not same.near(left, right) and same.near(left, left)
+    a, b, c = ngram_jaccard.exact_sets([left, right, left], 4)
+    assert a.tolist() == c.tolist() and not set(a.tolist()) & set(b.tolist())
+
+
+@pytest.mark.parametrize("block", [1, 64, 1 << 20])
+def test_shingles_of_batches(monkeypatch, block):
+    """Sets as large as those of word tuples, equal just where these are, whatever the blocks."""
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    texts = [None, "", "  \n", "one", "One two", "a b c d e f a b c d", "x" * 2000 + " y " + "x" * 2000, "Ü é\x0b中文\x1fq z", "AB", " AB", *("a" * k for k in (7, 8, 9, 16, 17, 600))] + [words(n, n) for n in range(40)]
+    for size in (1, 4, 5):
+        got = [h[a:b].tolist() for _, h, o in shingles.of_batch(pa.array(["cut off", *texts])[1:], size) for a, b in zip(o[:-1], o[1:], strict=True)]
+        sets = [tuples((t or "").encode(), size) for t in texts]
+        assert [len(g) for g in got] == [len(x) for x in sets]
+        for g, x, t in zip(got, sets, texts, strict=True):
+            assert sorted(set(shingles.of_text((t or "").encode(), size).tolist())) == g
+            assert all((g == h) == (x == y) for h, y in zip(got, sets, strict=True))
 
 
 def test_components(spark):
