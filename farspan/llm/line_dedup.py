@@ -2,7 +2,8 @@
 
 Pass 1 sends the 64-bit hashes of each task's distinct long lines to the filters `once` and `twice` of their segment
 (`common.repeated_filter`). Pass 2 tests every line against `twice`: only suspected lines are shuffled as text, and
-counted exactly. Pass 3 takes the confirmed lines out of their documents.
+counted exactly. Pass 3 takes the confirmed lines out of their documents, and shuffles only documents that a filter of
+their ids suspects to lose any.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_free_name, prepare, repeated_filter, staged, texts_of
+from .common import column_free_name, id_hash, key_filter, lean, prepare, release, repeated_filter, shared_with, staged, staged_with, texts_of
 
 BLANK = b" \t\n\v\f\r"
 #: Hashes that a map task gathers before it sends them on.
@@ -45,7 +46,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
     more that min_docs rows or more hold loses all its lines but those of the largest doc_id that holds it. Null text
     is one empty line and stays null if nothing is dropped. Rows that repeat a doc_id count as documents of their own
     and share its fate; a null doc_id is smaller than any other, and if no holder has an id, all keep their lines.
-    Other columns pass unchanged. An empty table gives an empty result.
+    A very long text or line is read whole by the task that holds it. Other columns pass unchanged, whatever their
+    names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -68,8 +70,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
         if seen:
             yield out()
 
-    hashes = staged(plain.select("text").mapInArrow(hashed, "h long, multi boolean"), "lines")
-    twice = spark.sparkContext.broadcast(repeated_filter(hashes, hashes.count()))
+    hashes, seen = staged_with(plain.select("text").mapInArrow(lean(hashed), "h long, multi boolean"), "lines", n=F.count(F.lit(1)))
+    twice = shared_with(spark, repeated_filter(hashes, seen["n"]))
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,11 +85,18 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
                 at = np.flatnonzero(hit)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(owner)[at])), pa.array([keys[i] for i in at], pa.binary())], ["doc_id", "key"])
 
-    lines = staged(plain.mapInArrow(suspected, "doc_id long, key binary"), "suspected")
+    lines = staged(plain.mapInArrow(lean(suspected), "doc_id long, key binary"), "suspected")
+    release(twice)
     confirmed = lines.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     confirmed = staged(confirmed, "confirmed")  # so that the join has shuffles of its own, which can split a hot line
+    out = {c: column_free_name(docs, c) for c in ("_gone_id", "_gone", "_cut", "n_lines", "n_dropped")}
     gone = lines.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull())
-    gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("key").alias("_gone"))
+    gone = staged(gone.groupBy(F.col("doc_id").alias(out["_gone_id"])).agg(F.collect_set("key").alias(out["_gone"])), "gone")
+    touched = shared_with(spark, key_filter(gone.select(id_hash(out["_gone_id"]).alias("h"))))
+
+    @F.arrow_udf("boolean")
+    def may_lose(h: pa.Array) -> pa.Array:
+        return pa.array(touched.value.test(h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     @F.arrow_udf("struct<kept string, n_lines long, n_dropped long>")
     def cut(text: pa.Array, keys: pa.Array) -> pa.Array:
@@ -105,7 +114,13 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
             dropped.append(len(all_lines) - len(stay))
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["kept", "n_lines", "n_dropped"])
 
-    both = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left")
-    cut_out = both.withColumn("_cut", cut(F.col("text").cast("string"), F.col("_gone")))
-    names = [F.col("_cut.kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return cut_out.select(*names, F.col("_cut.n_lines").alias(column_free_name(docs, "n_lines")), F.col("_cut.n_dropped").alias(column_free_name(docs, "n_dropped")))
+    # only documents that may lose a line meet the lines; the others pass in place
+    hit = may_lose(F.xxhash64(F.col("doc_id").cast("long")))
+    met = docs.where(hit).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(out["_gone_id"])), "left").drop(out["_gone_id"])
+    met = met.withColumn(out["_cut"], cut(F.col("text").cast("string"), F.col(out["_gone"]))).drop(out["_gone"])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines_of = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    whole = F.struct(F.col("text").cast("string").alias("kept"), lines_of.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    both = met.unionByName(docs.where(~hit).withColumn(out["_cut"], whole))
+    names = [F.col(out["_cut"])["kept"].alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return both.select(*names, *(F.col(out["_cut"])[c].alias(out[c]) for c in ("n_lines", "n_dropped")))
