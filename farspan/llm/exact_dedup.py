@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, key_filter, prepare, staged, texts_of
+from .common import ODD, key_filter, lean, prepare, release, shared_with, staged, texts_of
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525_017)
@@ -86,16 +86,17 @@ def find_groups(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, sha (binary SHA-256 of the normalised text).
 
     Null text counts as empty. Of equal texts the row with the smallest doc_id stays (a null doc_id comes last); where
-    rows repeat a doc_id too, exactly one of them is kept. Other columns of docs are ignored, whatever their names.
+    rows repeat a doc_id too, exactly one of them is kept. A very long text is hashed in blocks and compared in chunks.
+    Other columns of docs are ignored, whatever their names.
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = staged(docs.mapInArrow(_fingerprints, "doc_id long, len long, h1 long, h2 long, h long, sha binary").withColumn("rid", F.monotonically_increasing_id()), "prints")
+    prints = staged(docs.mapInArrow(lean(_fingerprints), "doc_id long, len long, h1 long, h2 long, h long, sha binary").withColumn("rid", F.monotonically_increasing_id()), "prints")
     key = ["len", "h1", "h2"]
-    repeated = staged(prints.groupBy(*key).agg(F.count("*").alias("n"), F.first("h").alias("h")).where("n > 1").select("h"), "repeated")
-    suspected = spark.sparkContext.broadcast(key_filter(repeated))
+    repeated = (prints.groupBy(*key).agg(F.count("*").alias("n"), F.first("h").alias("h")).where("n > 1").select("h"))
+    suspected = shared_with(spark, key_filter(repeated))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,12 +106,14 @@ def find_groups(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], pa.int64()) for j in range(4)), pa.array([r[4] for r in rows], pa.binary())], [*key, "chunk", "part"])
 
-    parts = docs.select("text").mapInArrow(chunks, "len long, h1 long, h2 long, chunk long, part binary")
+    parts = docs.select("text").mapInArrow(lean(chunks), "len long, h1 long, h2 long, chunk long, part binary")
     differ = staged(parts.groupBy(*key, "chunk").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select(*key).distinct(), "differ")
+    release(suspected)
     if differ.isEmpty():
         keyed = prints.withColumn("own", F.lit(None).cast("binary"))
     else:  # fingerprints of unlike texts: there the text's SHA-256 parts the group
         keyed = prints.join(differ.withColumn("unlike", F.lit(True)), key, "left").withColumn("own", F.when(F.col("unlike"), F.col("sha"))).drop("unlike")
     keyed = keyed.withColumn("own", F.coalesce("own", F.lit(b"")))
-    groups = keyed.groupBy(*key, "own").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("first"), F.count("*").alias("group_size"))
+    # written, so that the join has shuffles of its own, which can split a hot text
+    groups = staged(keyed.groupBy(*key, "own").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("first"), F.count("*").alias("group_size")), "groups")
     return keyed.join(groups, [*key, "own"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "sha")
