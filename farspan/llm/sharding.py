@@ -40,9 +40,10 @@ def jump_shard(key: Column, shards: int) -> Column:
 def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text, null: none, plus 1), text_crc32, shard, slot (gapless from 0 in the
     shard), grown_shard (with one shard more). Rows that repeat a doc_id share its shard and get slots of their own; a
-    null doc_id hashes as a key of its own. Other columns are ignored. An empty table gives an empty result.
+    null doc_id hashes as a key of its own. Rows alike in id, size and crc take slots in any order. Of a very long text
+    only size and crc are kept. Other columns are ignored. An empty table gives an empty result.
 
-    Slots: rows are numbered in small groups (a shard's rows by a hash of the id, about SLOT_ROWS each); the groups'
+    Slots: rows are numbered in small groups (a shard's rows by a hash of id and text, about SLOT_ROWS each); the groups'
     offsets come from counts. The window and the join with the offsets share one shuffle of narrow rows.
     """
     from pyspark.sql import Window
@@ -50,8 +51,10 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     key = F.xxhash64(F.col("doc_id").cast("long"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     groups = max(64, docs.count() // (shards * SLOT_ROWS))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), jump_shard(key, shards).alias("shard"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("part"), jump_shard(key, shards + 1).alias("grown_shard"))
-    counts = docs.select(jump_shard(key, shards).alias("shard"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("part")).groupBy("shard", "part").agg(F.count("*").alias("n"))
+    crc = F.crc32(text.cast("binary"))
+    part = F.pmod(F.xxhash64(key, crc), F.lit(groups)).cast("int").alias("part")  # rows that share an id part by their texts
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32"), jump_shard(key, shards).alias("shard"), part, jump_shard(key, shards + 1).alias("grown_shard"))
+    counts = docs.select(jump_shard(key, shards).alias("shard"), part).groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     own = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
