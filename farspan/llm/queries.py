@@ -64,11 +64,9 @@ def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three segmentations of every turn of `conversations`, with the check that they decode to the turn's text."""
-    model = tokenizer_path("piece_bpe_32k.model")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    out = sentencepiece_sampling.sample_segmentations(rows, ["conv_id", "turn"], model, k=3)
-    return out.select("conv_id", "turn", "rank", F.size("ids").alias("n_ids"), F.crc32(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")).alias("ids_crc32"), F.sha2(sentencepiece_sampling.decode_ids(F.col("ids"), model), 256).alias("text_sha256"), "log_prob", "inclusion")
+    """Three segmentations of every turn of `conversations`, with the check that they decode to the very text."""
+    out = sentencepiece_sampling.sample_segmentations(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], tokenizer_path("piece_bpe_32k.model"), k=3)
+    return out.select("conv_id", "turn", "rank", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "exact", "log_prob", "inclusion")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,28 +363,68 @@ def test_media_small_crop_of_a_detailed_picture(spark):
     assert [(g.query_id, g.match_id) for g in got] == [(0, 0)] and abs(got[0].dy - 211) <= 1 and abs(got[0].dx - 209) <= 1
 
 
+def ids_in(x):
+    return tuple(np.frombuffer(x, "<i4").tolist())
+
+
 def test_sentencepiece(spark, rows):
+    """Whole texts, very long ones and one without blanks among them, decode to themselves; segmentations are distinct."""
     path = tokenizer_path("piece_bpe_32k.model")
-    texts = [(i, t) for i, t in rows if t is None or len(t) < 2000] + [(500, "a▁b  two  spaces\n🙂")]
-    df = table(spark, texts)
-    got = sentencepiece_sampling.sample_segmentations(df, ["doc_id"], path, 3)
+    texts = [*rows, (500, "a▁b  two  spaces\n🙂"), (501, "unbrokenstringofletters" * 300)]
+    got = sentencepiece_sampling.sample_segmentations(table(spark, texts), ["doc_id"], path, 3)
     out = got.withColumn("back", sentencepiece_sampling.decode_ids(F.col("ids"), path)).collect()
-    want = collections.defaultdict(set)
+    want, found = collections.defaultdict(set), collections.defaultdict(list)
     for i, t in texts:
         want[i].add(t or "")
     for x in out:
-        assert x.back in want[x.doc_id] and 0 <= x.inclusion <= 1
-    rank = collections.defaultdict(set)
-    for x in out:
-        rank[x.doc_id, x.back].add(tuple(x.ids))
-    assert len(rank[500, "a▁b  two  spaces\n🙂"]) == 3
+        assert x.exact and x.back in want[x.doc_id] and 0 <= x.inclusion <= 1
+        found[x.doc_id, x.back].append(ids_in(x.ids))
+    assert set(found) == {(i, t or "") for i, t in texts}
+    for i in (500, 501, 40):
+        assert len(set(found[i, next(iter(want[i]))])) == 3
     assert sentencepiece_sampling.sample_segmentations(table(spark, []), ["doc_id"], path).count() == 0
-    lattices = sentencepiece_sampling.lattices_of(path)
-    first, p, total = collections.Counter(), {}, collections.Counter()
-    for seed in range(2000):
-        for j, (ids, logp, score) in enumerate(sentencepiece_sampling.sample("the cat", 3, seed, lattices)):
-            p[tuple(ids)] = math.exp(logp)
-            total[tuple(ids)] += 1 / score
-            first[tuple(ids)] += j == 0
-    for ids, n in first.most_common(2):
-        assert abs(n / 2000 - p[ids]) < 0.03 and abs(total[ids] / 2000 - 1) < 0.1
+    with pytest.raises(ValueError, match="rank"):
+        sentencepiece_sampling.sample_segmentations(table(spark, rows).withColumn("rank", F.lit(1)), ["RANK"], path)
+
+
+def every_segmentation(text, lattices):
+    """Plain enumeration of all ways through the text: ids to probability."""
+    t, out, done = " " + text, [((), 0.0, 0)], {}
+    while out:
+        ids, w, i = out.pop()
+        if i == len(t):
+            done[ids] = math.exp(w)
+            continue
+        for j in range(i + 1, len(t) + 1):
+            if t[i:j] in lattices.pieces:
+                piece, weight = lattices.pieces[t[i:j]]
+                out.append((ids + ids_in(piece), w + weight, j))
+        if t[i] not in lattices.pieces:
+            own = tuple(lattices.bytes[b] for b in t[i].encode())
+            out.append((ids + own, w - sentencepiece_sampling.POWER * 12 * len(own), i + 1))
+    total = sum(done.values())
+    return {ids: p / total for ids, p in done.items()}
+
+
+@pytest.mark.parametrize("text", ["ab", "the\ncat", "a bé", "in it"])
+@pytest.mark.parametrize("whole", [0, 32])
+def test_sampling_laws(monkeypatch, text, whole):
+    """Against all segmentations enumerated: first and second draws without replacement, and inclusion scores. Whether
+    units are walked place by place or chosen whole makes no difference, nor what is forgotten."""
+    monkeypatch.setattr(sentencepiece_sampling, "WHOLE", whole)
+    monkeypatch.setattr(sentencepiece_sampling, "HELD_UNIT", 3)
+    lattices, n = sentencepiece_sampling.Lattices(tokenizer_path("piece_bpe_32k.model")), 3000
+    p = every_segmentation(text, lattices)
+    first, second, weight = collections.Counter(), collections.Counter(), collections.Counter()
+    for seed in range(n):
+        out = [(ids_in(ids), logp, score) for ids, logp, score in sentencepiece_sampling.sample(text, 3, seed * 7919, lattices)]
+        assert len({ids for ids, _, _ in out}) == min(3, len(p))
+        for ids, logp, score in out:
+            assert abs(math.exp(logp) - p[ids]) < 1e-9
+            weight[ids] += 1 / score
+        first[out[0][0]] += 1
+        second[out[1][0]] += 1
+    for ids in sorted(p, key=p.get)[-4:]:
+        assert abs(first[ids] / n - p[ids]) < 0.03
+        assert abs(second[ids] / n - sum(p[x] * p[ids] / (1 - p[x]) for x in p if x != ids)) < 0.03
+        assert p[ids] < 0.05 or abs(weight[ids] / n - 1) < 0.12
