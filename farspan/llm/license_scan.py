@@ -1,109 +1,24 @@
 """Licence detection by ordered signature rules, in column expressions only.
 
-A text becomes its words joined by single spaces. Rules are regular expressions over that: for each licence family
-and version a declaration (SPDX tag), a grant ("licensed under the ...") and a mention, some hundreds in all, built
-from the family table below. A rule runs only where its keyword occurs. Of overlapping detections one that lies
-within another of higher priority (or of the same priority and greater length) is suppressed. The base phrases are
-counted exactly, whatever the rules find.
+A text becomes its words joined by single spaces. Rules are regular expressions over that, some hundreds written by
+hand (`signatures`): tags, grants, telling sentences, versions, names and hints, in falling priority. A text without
+any gate has no detection; in the others a rule runs only where its keyword occurs. Of overlapping detections one that
+lies within another of higher priority (or of the same priority and greater length) is suppressed. The base phrases
+are counted exactly, whatever the rules find.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .signatures import GATES, rules
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 
-class Rule(NamedTuple):
-    label: str
-    priority: int
-    confidence: float
-    keyword: str
-    pattern: str
-
-
-#: label, words of the name as a pattern, keyword, versions. Facts about published licences.
-FAMILIES = (
-    ("gpl", "(?:gnu gpl|gpl|(?:gnu )?general public licen[sc]e)", "g", ("1.0", "2.0", "3.0")),
-    ("lgpl", "(?:gnu lgpl|lgpl|(?:gnu )?(?:lesser|library) general public licen[sc]e)", "l", ("2.0", "2.1", "3.0")),
-    ("agpl", "(?:gnu agpl|agpl|(?:gnu )?affero general public licen[sc]e)", "a", ("1.0", "3.0")),
-    ("gfdl", "(?:gfdl|gnu free documentation licen[sc]e)", "f", ("1.1", "1.2", "1.3")),
-    ("apache", "apache(?: software)?(?: licen[sc]e)", "apache", ("1.0", "1.1", "2.0")),
-    ("mit", "(?:mit|expat) licen[sc]e", "licen", ()),
-    ("x11", "x11 licen[sc]e", "x11", ()),
-    ("bsd", "(?:modified |simplified |new |revised )?bsd(?: style)?(?: licen[sc]e)?", "bsd", ("2 clause", "3 clause", "4 clause")),
-    ("isc", "isc licen[sc]e", "isc", ()),
-    ("zlib", "zlib(?: libpng)? licen[sc]e", "zlib", ()),
-    ("mpl", "(?:mpl|mozilla public licen[sc]e)", "m", ("1.0", "1.1", "2.0")),
-    ("epl", "(?:epl|eclipse public licen[sc]e)", "e", ("1.0", "2.0")),
-    ("cpl", "common public licen[sc]e", "common", ("1.0",)),
-    ("cddl", "(?:cddl|common development and distribution licen[sc]e)", "c", ("1.0", "1.1")),
-    ("eupl", "(?:eupl|european union public licen[sc]e)", "e", ("1.0", "1.1", "1.2")),
-    ("osl", "open software licen[sc]e", "open software", ("1.0", "2.0", "2.1", "3.0")),
-    ("afl", "academic free licen[sc]e", "academic", ("1.1", "1.2", "2.0", "2.1", "3.0")),
-    ("artistic", "artistic licen[sc]e", "artistic", ("1.0", "2.0")),
-    ("bsl", "boost software licen[sc]e", "boost", ("1.0",)),
-    ("ofl", "(?:sil )?open font licen[sc]e", "font", ("1.0", "1.1")),
-    ("odbl", "(?:odbl|open database licen[sc]e)", "o", ("1.0",)),
-    ("odc-by", "open data commons attribution licen[sc]e", "open data", ("1.0",)),
-    ("pddl", "(?:pddl|public domain dedication and licen[sc]e)", "p", ("1.0",)),
-    ("ms-pl", "microsoft public licen[sc]e", "microsoft", ()),
-    ("ms-rl", "microsoft reciprocal licen[sc]e", "microsoft", ()),
-    ("python", "python(?: software foundation)? licen[sc]e", "python", ("2.0",)),
-    ("php", "php licen[sc]e", "php", ("3.0", "3.01")),
-    ("postgresql", "postgresql licen[sc]e", "postgresql", ()),
-    ("openssl", "openssl licen[sc]e", "openssl", ()),
-    ("ruby", "ruby licen[sc]e", "ruby", ()),
-    ("w3c", "w3c(?: software)?(?: notice and)? licen[sc]e", "w3c", ()),
-    ("unlicense", "unlicen[sc]e", "unlicen", ()),
-    ("wtfpl", "(?:wtfpl|do what the fuck you want to public licen[sc]e)", "w", ("1.0", "2.0")),
-    ("cc0", "(?:cc0|creative commons zero)", "c", ("1.0",)),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by", "(?:cc by|creative commons attribution)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-)
-#: Rules for what names no family.
-PLAIN = (
-    Rule("copyleft", 4, 0.4, "copyleft", "copyleft"),
-    Rule("all-rights-reserved", 4, 0.6, "reserved", "all rights reserved"),
-    Rule("public-domain", 4, 0.6, "public domain", "(?:placed |released )?(?:in|into|to) the public domain"),
-    Rule("copyright", 3, 0.3, "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}"),
-    Rule("proprietary", 4, 0.5, "proprietary", "proprietary and confidential"),
-    Rule("mit", 15, 0.9, "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    Rule("isc", 15, 0.9, "permission to use", "permission to use copy modify and or distribute this software for any purpose"),
-    Rule("bsd", 15, 0.9, "redistribution", "redistribution and use in source and binary forms with or without modification"),
-    Rule("zlib", 15, 0.9, "altered source", "altered source versions must be plainly marked as such"),
-    Rule("gpl", 15, 0.9, "free software", "this program is free software you can redistribute it and or modify"),
-    Rule("unlicense", 15, 0.9, "unencumbered", "this is free and unencumbered software released into the public domain"),
-)
-GRANT = "(?:licen[sc]ed|released|distributed|available|provided|published|covered|shared|redistributed|free) under (?:the )?(?:terms (?:of )?(?:the )?)?(?:a )?"
-#: A text with none of these has no detection.
-GATES = ("licen", "gpl", "spdx", "cc ", "cc0", "bsd", "mpl", "epl", "eupl", "cddl", "odbl", "pddl", "gfdl", "wtfpl", "creative commons", "copyleft", "reserved", "public domain", "copyright", "proprietary", "hereby granted", "permission to use", "redistribution", "altered source", "free software", "unencumbered")
-
-
-def rules() -> list[Rule]:
-    out = list(PLAIN)
-    for label, name, keyword, versions in FAMILIES:
-        tag = label.replace("-", " ")
-        out += [Rule(label, 10, 0.6, keyword, name), Rule(label, 20, 0.9, "under", GRANT + name), Rule(label, 30, 0.95, "spdx", f"spdx licen[sc]e identifier {tag}")]
-        for v in versions:
-            own = f"{label}-{v.replace(' ', '-')}"
-            number = v.removesuffix(".0").replace(".", " ") + ("(?: 0)?" if v.endswith(".0") else "")
-            number = rf"(?: licen[sc]e)?(?: version| v| )? ?v?{number}(?: or (?:any )?later|\+| international| unported)?"
-            out += [Rule(own, 12, 0.7, keyword, name + number), Rule(own, 22, 0.95, "under", GRANT + name + number), Rule(own, 32, 1.0, "spdx", f"spdx licen[sc]e identifier {tag} {v.replace('.', ' ')}(?: only| or later)?")]
-            if label == "bsd":
-                out.append(Rule(own, 12, 0.7, "clause", f"{v} bsd(?: licen[sc]e)?"))
-    return out
-
-
 def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -155,10 +70,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections (label, priority,
     confidence, start and stop in the words joined by spaces), for each row of docs.
 
-    Null or empty text has no words, no labels (empty strings), null places and score 0. Rows that repeat are each
-    scanned. Other columns are ignored. An empty table gives an empty result.
+    Null or empty text has no words, no labels (empty strings), null places and score 0. A very long text is scanned
+    whole. Of detections with the same place and priority all stay. Rows that repeat are each scanned. Other columns
+    are ignored, whatever their names. An empty table gives an empty result.
     """
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), SEPARATORS, " ")), F.lit(" "))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # only A-Z count as lower case: no other letters but these two become ASCII ones
+    odd = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a"))
+    text = F.lower(F.when(odd, F.translate(text, "\u0130\u212a", "\u0131\u0138")).otherwise(text))
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" "))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("w"))
     df = df.withColumn("n_words", F.when(F.col("w") == "  ", F.lit(0)).otherwise(_spaces(F.col("w")) - 1).cast("long"))
     w = F.col("w")

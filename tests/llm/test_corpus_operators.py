@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from farspan.llm import components, exact_dedup, language_id, license_scan, line_dedup, media, ngram_jaccard, packing, sentencepiece_sampling, sharding, shingles, toxicity
+from farspan.llm import components, exact_dedup, language_id, license_scan, line_dedup, media, ngram_jaccard, packing, sentencepiece_sampling, sharding, shingles, signatures, toxicity
 from farspan.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, N_LINES string, kept string, c string, n int"
@@ -242,7 +242,60 @@ def test_licenses(spark, rows):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[202].labels == "apache-2.0" and "cc-by-sa-4.0" in got[200].labels and "gpl-3.0" in got[201].labels
     assert "bsd-3-clause" in got[205].labels and got[203].labels == "" and got[5].score == 0
-    assert len(license_scan.rules()) > 300 and license_scan.scan_licenses(table(spark, [])).count() == 0
+    assert license_scan.scan_licenses(table(spark, [])).count() == 0
+
+
+def spelled(pattern, r):
+    """A random text that the pattern matches."""
+
+    def walk(parts):
+        out = ""
+        for op, arg in parts:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(arg)
+            elif kind == "IN":
+                how, one = r.choice(arg)
+                out += chr(one) if str(how) == "LITERAL" else chr(r.randint(*one))
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += "".join(walk(arg[2]) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 3))))
+            elif kind == "SUBPATTERN":
+                out += walk(arg[3])
+            elif kind == "BRANCH":
+                out += walk(r.choice(arg[1]))
+            else:
+                assert kind == "ANY"
+                out += "x"
+        return out
+
+    return walk(re._parser.parse(pattern))
+
+
+def found_by_rules(text):
+    """Detections by plain re: every rule on the whole text, then suppression of what lies within a better one."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    w = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
+    every = {(r.label, r.priority, m.start(), m.end()) for r in signatures.rules() for m in re.finditer(f" {r.pattern}(?= )", w)}
+    better = lambda d, e: e[2] <= d[2] and e[3] >= d[3] and (e[1] > d[1] or (e[1] == d[1] and e[3] - e[2] > d[3] - d[2]))
+    return {d for d in every if not any(better(d, e) for e in every)}
+
+
+def test_license_rules_against_plain_python(spark, rows):
+    """Gates and keywords hide nothing: detections equal those of every rule run on every text."""
+    r = random.Random(8)
+    texts = [" ".join([words(5, k), spelled(rule.pattern, r), words(3, k), spelled(r.choice(signatures.rules()).pattern, r)]) for k, rule in enumerate(signatures.rules())]
+    texts += ["SPDX-License-Identifier: GPL-2.0-only", "under the terms of the GNU Lesser General Public License, version 3", "CC BY-SA 4.0 and CC BY 4.0", "simple example: replace", "mIT LIcense \u212a \u0130", "GPLv3; GPLv3, gplv3"]
+    table_ = table(spark, [*enumerate(texts), *((1000 + k, t) for k, (_, t) in enumerate(rows))])
+    got = {x.doc_id: x for x in license_scan.scan_licenses(table_).collect()}
+    seen = collections.Counter()
+    for i, t in [*enumerate(texts), *((1000 + k, t) for k, (_, t) in enumerate(rows))]:
+        want = found_by_rules(t or "")
+        assert {(d.label, d.priority, d.start, d.stop) for d in got[i].detections or []} == want, t
+        seen.update(d[0] for d in want)
+    assert len(seen) > 100 and len(signatures.rules()) > 300
+    for rule in signatures.rules():  # so no match lacks its keyword or a gate
+        for own in (f" {spelled(rule.pattern, r)} " for _ in range(40)):
+            assert rule.keyword in own and any(g in f" {rule.keyword} " for g in signatures.GATES), own
 
 
 def test_packing(spark, rows):
