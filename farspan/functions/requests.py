@@ -51,7 +51,41 @@ def level_of(key: Column, m: int = 16, top: int = 10) -> Column:
 
 
 def millis(ts: Column) -> Column:
-    return F.expr("0L") + F.floor(F.unix_micros(ts.cast("timestamp")) / 1000).cast("long")
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / 1000).cast("long")
+
+
+#: Milliseconds that a request may take, by what it asks for. Fixed values.
+TIMEOUTS = {"default": 30_000, "vector": 10_000, "health": 5_000}
+
+
+def timeout_ms(path: Column) -> Column:
+    return F.when(path.startswith("/api/vector/"), TIMEOUTS["vector"]).when(path == "/health", TIMEOUTS["health"]).otherwise(TIMEOUTS["default"])
+
+
+def over_quota(remaining: Column) -> Column:
+    """Whether the gateway's header says that nothing is left; then to be tried again after RETRY_SECONDS."""
+    return F.coalesce(remaining == "0", F.lit(False))
+
+
+#: Fixed value.
+RETRY_SECONDS = 60
+
+
+def one_decimal(x: Column) -> Column:
+    """Text with one decimal, half away from zero."""
+    return F.round(x.cast("decimal(38,12)"), 1).cast("decimal(38,1)").cast("string")
+
+
+def score_text(score: Column) -> Column:
+    return F.concat(one_decimal(score * 100), F.lit("%"))
+
+
+def distance_text(distance: Column) -> Column:
+    return F.round(distance.cast("decimal(38,12)"), 4).cast("decimal(38,4)").cast("string")
+
+
+def shard_list(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(n - 1))
 
 
 def elapsed_ms(now: Column, start: Column) -> Column:

@@ -42,6 +42,26 @@ def request_error(id_: Column, vector: Column, metadata: Column) -> Column:
     return F.coalesce(F.concat(F.lit("id: "), id_error(id_)), F.concat(F.lit("vector: "), vector_error(vector)), F.concat(F.lit("metadata: "), metadata_error(metadata)))
 
 
+def insert_error(body: Column) -> Column:
+    """The first rule that a JSON insert body breaks, in the order id, vector, metadata; null if none."""
+    parsed = F.from_json(body, "id string, vector array<double>, metadata string")
+    return F.when(parsed.isNull() | F.try_parse_json(body).isNull(), "not JSON").otherwise(request_error(parsed["id"], parsed["vector"], parsed["metadata"]))
+
+
+def search_error(body: Column) -> Column:
+    """The rule that a JSON search body breaks, or null: a vector, then k within bounds if it is a whole number. Any
+    other k passes for the default at first, but doesn't parse as a number then."""
+    parsed = F.from_json(body, "vector array<double>, k string")
+    k = F.when(parsed["k"].rlike("^-?[0-9]+$"), parsed["k"].try_cast("long"))
+    wrong = F.when(parsed["k"].isNotNull() & k.isNull(), "k: not a whole number")
+    return F.coalesce(F.concat(F.lit("vector: "), vector_error(parsed["vector"])), F.concat(F.lit("k: "), k_error(k)), wrong)
+
+
+def batch_error(items: Column, bad_at: Column) -> Column:
+    """items: how many a batch has; bad_at: the place of its first bad one. One bad item rejects the batch."""
+    return F.when(items.isNull() | (items < 1), "empty").when(items > MAX_BATCH, "too many").when(bad_at.isNotNull(), F.concat(F.lit("item "), bad_at.cast("string")))
+
+
 def clamp_k(c: Column) -> Column:
     """10 by default, 100 at most."""
     return F.least(F.coalesce(c, F.lit(10)), F.lit(100))

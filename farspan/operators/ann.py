@@ -1,12 +1,16 @@
-"""Approximate search by random hyperplanes and by an inverted file of centroids, both in column expressions."""
+"""Approximate search by random hyperplanes and by an inverted file of centroids."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import cosine_distance, dot, normalize, shown
+from .knn import distances
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -29,21 +33,44 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, dimension: int, k: int =
     return _ranked(a.join(b, ["t", "key"]), k)
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
-    """centroids (cell, centre): each vector lies in the nearest cell, a query looks into its nearest `probes` cells.
+#: Cells that a codebook may have; it goes to all tasks.
+MAX_CELLS = 65_536
+
 
-    The default is set for recall: on `embeddings`, without clusters, 8 of the 10 labels' cells are needed.
+def cells_of(vectors: DataFrame, key: str, centroids: DataFrame, most: int = 1) -> DataFrame:
+    """(key, vector) to (key, vector, cell, cd): each vector with its `most` nearest cells by cosine distance, ties by
+    cell. Nothing is shuffled. Null, zero and wrongly sized vectors have no cell. centroids (cell, centre) are checked
+    to be MAX_CELLS at most."""
+    book = sorted((r.cell, r.centre) for r in centroids.limit(MAX_CELLS + 1).collect())
+    if len(book) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells")
+    cells, centres = np.array([c for c, _ in book], np.int64), np.array([x for _, x in book], float).reshape(len(book), -1)
+    shared = vectors.sparkSession.sparkContext.broadcast((cells, centres))
 
-    The centroids are a trained codebook of a fixed number of cells, so they are broadcast."""
-    c = F.broadcast(centroids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, centres = shared.value
+        for batch in batches:
+            values = batch.column(1).to_pylist()
+            ok = [i for i, v in enumerate(values) if v is not None and len(v) == centres.shape[1] and None not in v]
+            x = np.array([values[i] for i in ok], float).reshape(len(ok), centres.shape[1])
+            d = distances(centres, x, "cosine") if ok and len(cells) else np.zeros((len(ok), 0))
+            near = np.argsort(d, axis=1, kind="stable")[:, :most]
+            row, place = np.nonzero(np.isfinite(np.take_along_axis(d, near, 1)))
+            at = near[row, place]
+            take = pa.array(np.array(ok, np.int64)[row])
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(cells[at]), pa.array(d[row, at])], [*batch.schema.names, "cell", "cd"])
 
-    def ranked(df: DataFrame, key: str, most: int) -> DataFrame:
-        near = df.join(c).withColumn("cd", cosine_distance(F.col("vector"), F.col("centre"))).groupBy(key, "vector")
-        cells = near.agg(F.slice(F.array_sort(F.collect_list(F.struct("cd", "cell"))), 1, most).alias("cells"))
-        return cells.select(key, "vector", F.explode("cells.cell").alias("cell"))
+    own = vectors.select(key, "vector")
+    schema = ", ".join(f"{c} {t}" for c, t in own.dtypes)
+    return own.mapInArrow(run, f"{schema}, cell long, cd double")
+
+
+def ivf_search(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
+    """centroids (cell, centre): each vector lies in the nearest cell, a query looks into its nearest `probes` cells.
 
-    a = ranked(vectors, "id", 1).select("id", F.col("vector").alias("v"), "cell")
-    b = ranked(queries, "qid", probes).select("qid", F.col("vector").alias("q"), "cell")
+    The default is set for recall: on `embeddings`, without clusters, 8 of the 10 labels' cells are needed."""
+    a = cells_of(vectors, "id", centroids).select("id", F.col("vector").alias("v"), "cell")
+    b = cells_of(queries, "qid", centroids, probes).select("qid", F.col("vector").alias("q"), "cell")
     return _ranked(a.join(b, "cell"), k)
 
 

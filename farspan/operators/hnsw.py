@@ -120,25 +120,63 @@ def _graph(rows: pd.DataFrame, metric: str, config: Config) -> Graph:
     return Graph(metric, config).build(rows["id"].tolist(), np.array(rows["vector"].tolist(), np.float64))
 
 
-def search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 10, metric: str = "cosine", config: Config = PRESETS["default"], shards: int = 4) -> DataFrame:
-    """(id, vector) by shard, queries of a stated number, to (qid, rank, id, distance, score) merged over shards."""
+GRAPH = "shard int, id long, vector array<double>, deleted boolean, level int, links array<array<long>>"
+
+
+def build(vectors: DataFrame, metric: str = "cosine", config: Config = PRESETS["default"], shards: int = 4) -> DataFrame:
+    """vectors (id, vector, and maybe deleted) to one row a node (GRAPH): a table that can be written, read and searched
+    without building again. links: the ids that the node is linked with, layer by layer. A dimension that differs
+    within the table is an error."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        g = _graph(rows, metric, config)
-        out = [(q, i, d) for q, v in queries for d, i in g.search(np.array(v, np.float64), k, config.ef_search)]
+        if rows["vector"].map(len).nunique() > 1:
+            raise ValueError("vectors of unlike dimensions")
+        rows = rows.sort_values("id").drop_duplicates("id", keep="last")
+        g = Graph(metric, config).build(rows["id"].tolist(), np.array(rows["vector"].tolist(), np.float64))
+        links = [[[g.ids[v] for v in layer] for layer in own] for own in g.links]
+        return pd.DataFrame({"shard": rows["shard"].to_numpy(), "id": g.ids, "vector": list(g.x), "deleted": rows["deleted"].to_numpy(), "level": [len(x) - 1 for x in links], "links": links})
+
+    deleted = F.col("deleted") if "deleted" in vectors.columns else F.lit(False)
+    plain = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.coalesce(deleted, F.lit(False)).alias("deleted"))
+    return plain.where("id is not null and vector is not null").withColumn("shard", shard_of(F.col("id"), shards)).groupBy("shard").applyInPandas(run, GRAPH)
+
+
+def _graph(rows: pd.DataFrame, metric: str, config: Config) -> Graph:
+    rows = rows.sort_values("id")
+    g = Graph(metric, config)
+    g.ids, g.x = rows["id"].tolist(), np.array(rows["vector"].tolist(), np.float64)
+    at = {key: i for i, key in enumerate(g.ids)}
+    g.links = [[[at[v] for v in layer] for layer in own] for own in rows["links"]]
+    top = rows["level"].max()  # the first node of the highest level became the entry
+    g.entry = int(np.flatnonzero(rows["level"].to_numpy() == top)[0])
+    return g
+
+
+def search(graph: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", config: Config = PRESETS["default"], shards: int = 4) -> DataFrame:
+    """A graph table of so many shards and queries (qid, vector) to (qid, rank, id, distance, score), merged over shards.
+    Each shard's task gets the queries as rows. Deleted nodes lead the way but aren't found: a shard is searched for as many more as
+    it has deleted ones, up to twice ef. An empty graph finds nothing; a query of another dimension is an error."""
+
+    def run(key: tuple, nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(nodes) and len(asked):
+            g = _graph(nodes, metric, config)
+            gone = set(nodes.loc[nodes["deleted"], "id"])
+            ef = max(config.ef_search, k) + min(len(gone), config.ef_search)
+            for q, v in zip(asked["qid"], asked["vector"], strict=True):
+                if len(v) != g.x.shape[1]:
+                    raise ValueError("a query of another dimension")
+                found = [(d, i) for d, i in g.search(np.array(v, np.float64), ef, ef) if i not in gone]
+                out += [(q, i, d) for d, i in found[:k]]
         return pd.DataFrame(out, columns=["qid", "id", "d"]).astype({"qid": "int64", "id": "int64", "d": "float64"})
 
-    near = vectors.withColumn("shard", shard_of(F.col("id"), shards)).groupBy("shard").applyInPandas(run, "qid long, id long, d double")
+    everywhere = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))  # the stated queries, once for each shard
+    near = graph.groupBy("shard").cogroup(everywhere.groupBy("shard")).applyInPandas(run, "qid long, id long, d double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d", "id")).cast("long")
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "id", shown(F.col("d")).alias("distance"), shown(1 - F.col("d")).alias("score"))
 
 
-def edges(vectors: DataFrame, metric: str = "cosine", config: Config = PRESETS["default"], shards: int = 4) -> DataFrame:
-    """The graphs' directed links: (shard, layer, src, dst)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        g = _graph(rows, metric, config)
-        out = [(int(rows["shard"].iloc[0]), layer, g.ids[n], g.ids[v]) for n, own in enumerate(g.links) for layer, theirs in enumerate(own) for v in theirs]
-        return pd.DataFrame(out, columns=["shard", "layer", "src", "dst"]).astype("int64")
-
-    return vectors.withColumn("shard", shard_of(F.col("id"), shards)).groupBy("shard").applyInPandas(run, "shard long, layer long, src long, dst long")
+def edges(graph: DataFrame) -> DataFrame:
+    """The graph's directed links: (shard, layer, src, dst)."""
+    layers = graph.select("shard", F.col("id").alias("src"), F.posexplode("links").alias("layer", "to"))
+    return layers.select(F.col("shard").cast("long").alias("shard"), F.col("layer").cast("long").alias("layer"), "src", F.explode("to").alias("dst"))

@@ -15,13 +15,16 @@ from ..functions.distance import shown
 BLOCK = 4096
 #: Distances count as ties when they agree to so many digits.
 TIE_DIGITS = 9
+#: Numbers that a block of differences may hold.
+HELD = 1 << 22
 METRICS = ("cosine", "euclidean", "dotproduct")
 
 
 def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     """queries x vectors, double; NaN where the cosine of a zero vector would be asked for."""
     if metric == "euclidean":
-        return np.sqrt(np.maximum(((q[:, None, :] - x[None]) ** 2).sum(axis=2), 0))
+        step = max(1, HELD // max(1, x.size))  # queries whose differences are held together
+        return np.concatenate([np.sqrt(((q[i : i + step, None, :] - x[None]) ** 2).sum(axis=2)) for i in range(0, len(q), step)] or [np.zeros((0, len(x)))])
     product = q @ x.T
     if metric == "dotproduct":
         return -product

@@ -152,9 +152,8 @@ def dimension(spark, sf_dir) -> int:
     SELECT vec_id, cell, 1 - list_cosine_similarity(embedding::DOUBLE[], centre) AS d FROM embeddings, m) GROUP BY vec_id""")
 def nearest_centroid(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    c = F.broadcast(ann.centroids_of(v, dimension(spark, sf_dir)))  # one row for each label
-    near = v.join(c).select("id", "cell", D.cosine_distance(F.col("vector"), F.col("centre")).alias("d"))
-    return near.groupBy("id").agg(F.min_by("cell", "d").alias("cell"), D.shown(F.min("d")).alias("distance"))
+    near = ann.cells_of(v, "id", ann.centroids_of(v, dimension(spark, sf_dir)))
+    return near.select("id", F.col("cell").cast("int").alias("cell"), D.shown(F.col("cd")).alias("distance"))
 
 
 @query("SELECT vec_id AS id, CASE WHEN len(v) = 0 THEN 'empty' WHEN list_contains(list_transform(v, lambda x: isnan(x)), true) THEN 'not finite' END AS error, CASE WHEN vec_id % 3 = 1 THEN 0::BIGINT END AS first_bad FROM (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN embedding WHEN 1 THEN ['nan'::FLOAT] ELSE [] END AS v FROM embeddings)")
@@ -414,13 +413,20 @@ def graph_shards(spark, sf_dir) -> int:
 @query(knn_sql())
 def hnsw_search(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    qs = [(r.qid, r.vector) for r in asked(v).toLocalIterator()]  # the stated query set, as `knn` blocks have it
-    return hnsw.search(v.select("id", "vector"), qs, config=hnsw.Config(16, 200, 400), shards=graph_shards(spark, sf_dir))
+    n = graph_shards(spark, sf_dir)
+    return hnsw.search(hnsw.build(v.select("id", "vector"), shards=n), asked(v), shards=n)
+
+
+@query(knn_sql(where="a.vec_id % 7 <> 0"))
+def hnsw_search_active(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    n = graph_shards(spark, sf_dir)
+    return hnsw.search(hnsw.build(v.select("id", "vector", "deleted"), shards=n), asked(v), shards=n)
 
 
 @query()
 def hnsw_layer_stats(spark, sf_dir):
-    e = hnsw.edges(vectors(spark, sf_dir).select("id", "vector"), shards=graph_shards(spark, sf_dir))
+    e = hnsw.edges(hnsw.build(vectors(spark, sf_dir).select("id", "vector"), shards=graph_shards(spark, sf_dir)))
     return e.groupBy("layer").agg(F.count("*").alias("connections"), F.countDistinct("src").alias("nodes"))
 
 

@@ -33,14 +33,20 @@ def save_snapshot(state: DataFrame, path: str, version: int) -> None:
     state.write.mode("errorifexists").parquet(f"{path}/version={version:010d}")
 
 
-def load_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The latest version, or an empty state where there is none. A damaged snapshot is an error, not an empty state."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions whose write has ended."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-    versions = [v for v in versions if v.startswith("version=")]
-    return spark.read.schema(schema).parquet(f"{path}/{versions[-1]}") if versions else spark.createDataFrame([], schema)
+    names = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(p.getName()[8:]) for p in names if p.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def load_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The latest whole version, or an empty state where there is none. A damaged snapshot is an error, not an empty
+    state; a version whose write never ended is passed over."""
+    found = versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/version={found[-1]:010d}") if found else spark.createDataFrame([], schema)
 
 
 def append_requests(requests: DataFrame, path: str) -> None:

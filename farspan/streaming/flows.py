@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,8 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.limits import Bucket
 
 
-def token_bucket(events: DataFrame, capacity: int = 100, rate: float = 1.67, idle: str = "PT1H") -> DataFrame:
-    """A stream of (key, seq, ms) to decisions. A key idle for an hour of processing time loses its (full) bucket."""
+def token_bucket(events: DataFrame, capacity: int = 100, rate: float = 1.67) -> DataFrame:
+    """A stream of (key, seq, ms) to decisions. A bucket goes only when it is full again, which a new one is too."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -24,7 +25,7 @@ def token_bucket(events: DataFrame, capacity: int = 100, rate: float = 1.67, idl
         bucket = Bucket(capacity, rate, tokens, int(rows["ms"].iloc[0]) if last is None else last)
         out = [(key[0], s, m, *bucket.take(int(m))) for s, m in zip(rows["seq"], rows["ms"], strict=True)]
         state.update((bucket.tokens, bucket.last))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutDuration(max(1, math.ceil((capacity - bucket.tokens) / rate * 1000)))
         frame = pd.DataFrame(out, columns=["key", "seq", "ms", "allowed", "remaining", "retry_after"])
         yield frame.astype({"retry_after": "Int64"})
 

@@ -83,9 +83,9 @@ def test_recall(spark):
     q = [(1000 + i, [float(v) for v in r.normal(size=16)]) for i in range(20)]
     qs = spark.createDataFrame(q, "qid long, vector array<double>")
     exact = {(g.qid, g.id) for g in knn.knn(v, qs).collect()}
-    for found, least in ((hnsw.search(v.select("id", "vector"), q, shards=2), 0.95), (ann.lsh_search(v, qs, 16, tables=24, bits=3), 0.9), (ann.ivf_search(v, qs, ann.centroids_of(v, 16), probes=7), 0.9)):
+    for found, least in ((hnsw.search(hnsw.build(v.select("id", "vector"), shards=2), qs, shards=2), 0.95), (ann.lsh_search(v, qs, 16, tables=24, bits=3), 0.9), (ann.ivf_search(v, qs, ann.centroids_of(v, 16), probes=7), 0.9)):
         assert len(exact & {(g.qid, g.id) for g in found.collect()}) >= least * len(exact)
-    e = hnsw.edges(v.select("id", "vector"), shards=2).collect()
+    e = hnsw.edges(hnsw.build(v.select("id", "vector"), shards=2)).collect()
     assert all(g.src != g.dst for g in e)
 
 
