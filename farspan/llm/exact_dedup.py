@@ -95,7 +95,7 @@ def find_groups(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = staged(docs.mapInArrow(lean(_fingerprints), "doc_id long, len long, h1 long, h2 long, h long, sha binary").withColumn("rid", F.monotonically_increasing_id()), "prints")
     key = ["len", "h1", "h2"]
-    repeated = (prints.groupBy(*key).agg(F.count("*").alias("n"), F.first("h").alias("h")).where("n > 1").select("h"))
+    repeated = prints.groupBy(*key).agg(F.count("*").alias("n"), F.first("h").alias("h")).where("n > 1").select("h")
     suspected = shared_with(spark, key_filter(repeated))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,6 +85,33 @@ def test_lines(spark, rows):
     assert line_dedup.drop_repeated_lines(table(spark, [])).count() == 0
 
 
+def test_columns_of_helpers_names_pass(spark):
+    """Columns named like the operators' own helpers come through as they are."""
+    names = ["_gone", "_gone_id", "_cut", "_Language", "_TOXICITY", "gone"]
+    docs = spark.createDataFrame([(i, f"{LONG_LINE}\nown {i}", *"abcdef") for i in range(4)], ["doc_id", "text", *names])
+    own = [tuple("abcdef")] * 4
+    out = line_dedup.drop_repeated_lines(docs)
+    assert [tuple(r[n] for n in names) for r in out.collect()] == own and out.agg(F.sum("n_dropped")).first()[0] == 3
+    assert [tuple(r[n] for n in names) for r in language_id.identify(docs, None).collect()] == own
+    assert [tuple(r[n] for n in names) for r in toxicity.with_score(docs, None).collect()] == own
+
+
+def test_unlike_texts_with_one_fingerprint(spark, monkeypatch):
+    """Where all fingerprints are equal, texts are still told apart, by their chunks and then their SHA-256."""
+    def same(batches):
+        for batch in exact_dedup_fingerprints(batches):
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([7] * n, pa.int64())] * 4, batch.column("sha")], batch.schema.names)
+
+    exact_dedup_fingerprints = exact_dedup._fingerprints
+    monkeypatch.setattr(exact_dedup, "_fingerprints", same)
+    monkeypatch.setattr(exact_dedup, "fingerprint", lambda text: (7, 7, 7))
+    monkeypatch.setattr(exact_dedup, "key_of", lambda prints: np.full(len(prints), 7, np.int64).view(np.uint64))
+    docs = spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, "other"), (4, "x" * 100_000), (5, "x" * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.find_groups(docs).collect()}
+    assert got == {1: (1, 2, True), 2: (1, 2, False), 3: (3, 1, True), 4: (4, 2, True), 5: (4, 2, False)}
+
+
 def brute_components(rows, size, percent):
     sets = collections.defaultdict(list)
     for i, t in rows:
