@@ -49,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("language_id", keep_languages), ("line_dedup", drop_lines), ("ngram_jaccard", keep_one_of_near), ("packing", pack)]
 
-#: Learned models and the packing can't be said in SQL; the tests hold the stages against brute force.
+#: Learned models and the packing can't be said in SQL. Tests hold line_dedup and ngram_jaccard against brute force as operators, not as stages.
 ORACLE_SQL = None
 
 

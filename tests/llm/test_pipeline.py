@@ -1,4 +1,4 @@
-"""The pipeline's stages: each one's decisions against plain Python."""
+"""The pipeline's stages: columns, counts and that every kept document is packed. Their decisions are tested as operators."""
 
 import pytest
 from pyspark.sql import functions as F
