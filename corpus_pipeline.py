@@ -1,4 +1,8 @@
-"""A training-corpus pipeline over `documents`: toxicity, language, repeated lines, near duplicates, packing."""
+"""A training-corpus pipeline over `documents`: toxicity, language, repeated lines, near duplicates, packing.
+
+Stages take null, empty, very long and repeated texts whole, and empty tables; all but the last return the columns they
+were given, whatever further ones there are. Where a stage's result for such rows is its own, its docstring says so.
+"""
 
 from __future__ import annotations
 
@@ -14,14 +18,16 @@ TOXIC = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under TOXIC. The model learns from all labels, on the texts of this stage's input."""
+    """Documents that score under TOXIC. The model learns from all labels, on the texts of this stage's input. Null and
+    empty texts score by the model's bias alone; rows that repeat go or stay together; without labels all stay."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return toxicity.with_score(docs, model).where(F.col(column_free_name(docs, "_toxicity")) < TOXIC).select(*docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language. Those without letters go (`und`), and those that lie between codewords: flagged
-    as ambiguous, with under half of the weight on the nearest (of 10,000 labelled documents at sf0.1 two)."""
+    as ambiguous, with under half of the weight on the nearest (of 10,000 labelled documents at sf0.1 two). Null and
+    empty texts have no letters. Where no row has a lang nothing is learned, and all go."""
     model = language_id.learn(docs, F.lit(True))
     found = F.col(column_free_name(docs, "_language"))
     between = found["ambiguous"] & (found["score"] < 0.5)
@@ -29,7 +35,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars follows the text."""
+    """Repeated lines go; n_chars follows the text. A document that loses all its lines stays, empty; rows that repeat a
+    doc_id keep a line together where that id is the largest."""
     out = line_dedup.drop_repeated_lines(docs)
     return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
@@ -44,12 +51,13 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every row's tokens, as `packing.pack_documents` says; an empty text is its end id alone."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", keep_languages), ("line_dedup", drop_lines), ("ngram_jaccard", keep_one_of_near), ("packing", pack)]
 
-#: Learned models and the packing can't be said in SQL. Tests hold line_dedup and ngram_jaccard against brute force as operators, not as stages.
+#: Learned models and the packing can't be said in SQL: tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
