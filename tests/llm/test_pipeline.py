@@ -137,3 +137,9 @@ def test_stages_of_an_empty_table(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs.where("false"), SF)
         assert out.count() == 0 and (name == "packing" or out.dtypes == docs.dtypes), name
+
+
+def test_without_labels_all_stay(spark):
+    docs = spark.createDataFrame([(1, "some words here", None), (2, None, None), (3, "", None)], "doc_id long, text string, lang string")
+    assert kept(corpus_pipeline.keep_languages(spark, docs, SF)) == kept(docs)
+    assert kept(corpus_pipeline.drop_toxic(spark, docs.withColumn("doc_id", -F.col("doc_id")), SF)) == kept(docs.withColumn("doc_id", -F.col("doc_id")))
