@@ -27,8 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language. Those without letters go (`und`), and those that lie between codewords: flagged
     as ambiguous, with under half of the weight on the nearest (of 10,000 labelled documents at sf0.1 two). Null and
-    empty texts have no letters. Where no row has a lang nothing is learned, and all go."""
+    empty texts have no letters. Where no row has a lang nothing is learned, and all stay."""
     model = language_id.learn(docs, F.lit(True))
+    if model is None:
+        return docs
     found = F.col(column_free_name(docs, "_language"))
     between = found["ambiguous"] & (found["score"] < 0.5)
     return language_id.identify(docs, model).where((found["lang_pred"] != language_id.NONE) & ~between).select(*docs.columns)
