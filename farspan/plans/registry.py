@@ -281,11 +281,12 @@ def shard_balance(spark, sf_dir):
 def shard_merge_topk(spark, sf_dir):
     v = vectors(spark, sf_dir)
     shard = R.shard_of(F.col("id"), 4)
-    parts = [knn.knn(v.where((shard == s) | (shard == (s + 1) % 4)), asked(v)) for s in range(4)]  # each vector lies in two shards
+    parts = [knn.nearest(v.where((shard == s) | (shard == (s + 1) % 4)), asked(v)) for s in range(4)]  # each vector lies in two shards
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return knn.merge_shards(out, 10).select("qid", "id", "distance", "rank")
+    best = knn.merge_shards(out.withColumnRenamed("d", "distance"), 10)  # merged by what ranks, not by what is shown
+    return best.select("qid", "id", D.shown(F.col("distance")).alias("distance"), "rank")
 
 
 def requests(spark, sf_dir) -> DataFrame:

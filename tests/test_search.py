@@ -1,5 +1,8 @@
-"""Searches that compare within tasks, on odd rows, against plain numpy."""
+"""Searches that compare within tasks, on odd rows, against plain numpy and their SQL."""
 
+import math
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +72,18 @@ def test_best_are_kept_over_steps():
             pairs = [(x, int(y)) for x, y in zip(d[i], ids, strict=True) if np.isfinite(x)]
             want = sorted(set(pairs) if once else pairs)[:10]
             assert [(x, int(y)) for x, y in zip(best_d[i], best_i[i], strict=True) if np.isfinite(x)] == want
+
+
+def oracle(path, name):
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{path}/embeddings.parquet/*.parquet'")
+    return sorted(c.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+
+
+def test_shards_merge_by_the_distance_that_ranks(spark, tmp_path):
+    """Distances that are the same as shown, at six digits, but not at nine."""
+    angle = lambda q, i: 0.1 * q + (1e-3 * (1 + 0.002 * (15 - i)) if i else 0)
+    rows = [(20 * q + i, [math.cos(angle(q, i)), math.sin(angle(q, i))], 0) for q in range(3) for i in range(15)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = __spark_entry__.queries()["shard_merge_topk"](spark, str(tmp_path)).collect()
+    assert [(g.qid, g.id, g.rank) for g in sorted(got)] == [(q, i, rank) for q, i, _, rank in oracle(tmp_path, "shard_merge_topk")]
