@@ -407,8 +407,8 @@ def hnsw_levels(spark, sf_dir):
 SHARD_ROWS = 400
 
 
-def graph_shards(spark, sf_dir) -> int:
-    return max(2, -(-vectors(spark, sf_dir).count() // SHARD_ROWS))
+def graph_shards(spark, sf_dir, rows: int = SHARD_ROWS) -> int:
+    return max(2, -(-vectors(spark, sf_dir).count() // rows))
 
 
 @query(knn_sql())

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from farspan.functions import distance as D
-from farspan.operators import ann, knn
+from farspan.operators import ann, hnsw, knn
+from farspan.plans import service_queries
 
 SEARCHES = {
     "lsh": lambda v, q: ann.lsh_search(v, q, 8),
@@ -95,3 +96,24 @@ def test_results_round_as_their_sql(spark):
     x = [s * round((2 * i + 1) * 5e-7, 9) for i in range(20_000) for s in (1, -1)] + [0.0, -1e-9, 2.5, 1e300, float("inf")]
     got = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(D.shown(F.col("x")).alias("y")).collect()]
     assert got == [y for (y,) in duckdb.execute("SELECT round(v, 6) + 0.0 FROM (SELECT unnest(?::DOUBLE[]) AS v)", [x]).fetchall()]
+
+
+def test_graph_shards_keep_their_size(spark, tmp_path, monkeypatch):
+    """More vectors, more shards, not larger ones."""
+    spark.range(9000).selectExpr("id AS vec_id", "array(float(id % 97 + 1), float(id % 89)) AS embedding", "0 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    shards = []
+    build = hnsw.build
+    monkeypatch.setattr(service_queries.hnsw, "build", lambda v, **how: shards.append(how["shards"]) or build(v, **how))
+    __spark_entry__.queries()["hnsw_recall"](spark, str(tmp_path))
+    assert shards == [3]
+
+
+def test_graph_distances_are_those_of_all_pairs():
+    x = np.random.default_rng(4).normal(size=(50, 8))
+    x[9] = 0
+    for metric in knn.METRICS:
+        g = hnsw.Graph(metric, hnsw.PRESETS["default"])
+        g.x = x
+        for nodes in ([3, 1, 4], [9, 2]):
+            want = np.round(knn.distances(x[nodes], x[:1], metric)[0], 9)
+            assert np.array_equal(g._to(x[0], nodes), want, equal_nan=True)
